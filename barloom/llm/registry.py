@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .dedup import op10_dedup
 from .mixing import op2_mixing
 from .packing import op3_packing
 from .pii import op1_pii
@@ -11,7 +12,7 @@ from .tokens import op6_tokens
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op6_tokens": op6_tokens, "op8_quality": op8_quality}
+    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op6_tokens": op6_tokens, "op8_quality": op8_quality, "op10_dedup": op10_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

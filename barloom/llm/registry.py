@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .dedup import op10_dedup
 from .mixing import op2_mixing
+from .neighbours import op9_neighbours
 from .packing import op3_packing
 from .pii import op1_pii
 from .quality import op8_quality
@@ -12,7 +13,7 @@ from .tokens import op6_tokens
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op6_tokens": op6_tokens, "op8_quality": op8_quality, "op10_dedup": op10_dedup}
+    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op6_tokens": op6_tokens, "op8_quality": op8_quality, "op9_neighbours": op9_neighbours, "op10_dedup": op10_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .dedup import op10_dedup
 from .language import op7_language
+from .lm import op5_lm
 from .mixing import op2_mixing
 from .neighbours import op9_neighbours
 from .packing import op3_packing
@@ -14,7 +15,7 @@ from .tokens import op6_tokens
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op6_tokens": op6_tokens, "op7_language": op7_language, "op8_quality": op8_quality, "op9_neighbours": op9_neighbours, "op10_dedup": op10_dedup}
+    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op5_lm": op5_lm, "op6_tokens": op6_tokens, "op7_language": op7_language, "op8_quality": op8_quality, "op9_neighbours": op9_neighbours, "op10_dedup": op10_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

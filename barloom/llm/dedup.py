@@ -263,5 +263,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, one document of each group of near duplicates; rows that repeat an id give way to one of them."""
+    found = written(near_duplicates(docs), "near-found")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone")), "near-repeated")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = F.col("doc_id").cast("long") == F.col("_gone")
+    left = docs.join(few(gone), own, "left_anti")
+    if not repeated.limit(1).count():
+        return left
+    ids = few(repeated)
+    return left.join(ids, own, "left_anti").unionByName(left.join(ids, own, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op10_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

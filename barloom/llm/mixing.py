@@ -48,8 +48,14 @@ def chance(seed: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64("doc_id", seed), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seeds: int = 16, seed: int = 20_251) -> DataFrame:
-    """Rows doc_id, size, source_size, target, copies, taken.
+def joined_plan(frame: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """``frame`` with its source's row of ``plan``, whose columns must not clash."""
+    p = plan.withColumnRenamed("source", "_of")
+    return frame.join(F.broadcast(p) if small else p, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+
+
+def decide(docs: DataFrame, weights: tuple[float, ...], most: float, seeds: int, seed: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Sizes of documents, the plan with each source's seed, and whether the plan is small enough to be broadcast.
 
     Each source tries ``seeds`` seeds in one aggregation and keeps that whose tokens come nearest to the
     target, so a few very long documents don't leave a small source far from it. Every copy is still a
@@ -58,19 +64,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     sizes = written(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
     plan = written(source_plan(sizes, weights, most), "mix-plan")
     n, width = plan.agg(F.count("*"), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
-    small = F.broadcast if n <= BROADCAST_SOURCES and 4 * width <= BROADCAST_BYTES else lambda df: df
-
-    def planned(with_plan: DataFrame) -> DataFrame:
-        p = with_plan.withColumnRenamed("source", "of")
-        return sizes.join(small(p), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-
+    small = n <= BROADCAST_SOURCES and 4 * width <= BROADCAST_BYTES
     tried = [F.sum(F.when(chance(F.lit(seed + k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(seeds)]
-    more = planned(plan).groupBy("source").agg(*tried).withColumnRenamed("source", "of")
+    more = joined_plan(sizes, plan, small).groupBy("source").agg(*tried).withColumnRenamed("source", "of")
     off = [F.struct(F.abs(F.col(f"s{k}") + F.col("whole") * F.col("source_size") - F.col("target")).alias("off"), F.lit(seed + k).alias("seed")) for k in range(seeds)]
     chosen = plan.join(more, F.col("source").eqNullSafe(F.col("of"))).withColumn("seed", F.array_min(F.array(*off))["seed"])
-    chosen = written(chosen.select(*plan.columns, "seed"), "mix-seeds")
-    copies = F.col("whole") + F.when(chance(F.col("seed")) < F.col("part"), 1).otherwise(0)
-    return planned(chosen).select("doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return sizes, written(chosen.select(*plan.columns, "seed"), "mix-seeds"), small
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seeds: int = 16, seed: int = 20_251) -> DataFrame:
+    """Rows doc_id, size, source_size, target, copies, taken."""
+    sizes, plan, small = decide(docs, weights, most, seeds, seed)
+    copies = (F.col("whole") + F.when(chance(F.col("seed")) < F.col("part"), 1).otherwise(0)).cast("long")
+    return joined_plan(sizes, plan, small).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def emit(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seeds: int = 16, seed: int = 20_251) -> DataFrame:
+    """``docs`` with the same columns, each row as often as the mix takes it."""
+    _, plan, small = decide(docs, weights, most, seeds, seed)
+    plan = plan.select("source", F.struct("whole", "part", "seed").alias("_plan"))
+    copies = F.col("_plan.whole") + F.when(chance(F.col("_plan.seed")) < F.col("_plan.part"), 1).otherwise(0)
+    each = joined_plan(docs, plan, small).withColumn("_copies", copies.cast("int")).where("_copies > 0")
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

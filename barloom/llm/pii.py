@@ -212,7 +212,7 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns: in ``text``, entities give way to the name of their kind and disclosing terms to [TERM].
+    """``docs`` with the same columns: n_chars follows the text. In ``text``, entities give way to the name of their kind and disclosing terms to [TERM].
 
     Only the places of disclosing terms travel; entities are found again where the text is.
     """
@@ -225,7 +225,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         for t, terms in zip(b.column("text").to_pylist(), b.column("_terms").to_pylist()):
             spans = all_spans([dict(zip(("kind", "a", "b"), x)) for x in base_spans(t or "")], terms)
             texts.append(redact(t, spans) if spans else t)
-        cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in rest]
+        new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+        cols = [pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in rest]
         return pa.RecordBatch.from_arrays(cols, rest)
 
     return map_batches(keyed.select(*rest, "_terms"), batch, docs.schema)

@@ -115,5 +115,22 @@ def assess(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), batch, SCHEMA)
 
 
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, without the documents rejected and without the failing lines of the rest; n_chars follows the text."""
+    hashes = WordHash()
+    names = docs.columns
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw = text_bytes(b.column("text"))
+        kept = [i for i, t in enumerate(raw) if measure(t, hashes)[6]]
+        texts = [clean(raw[i].decode())[0] for i in kept]
+        rows = b.take(pa.array(kept, pa.int64()))
+        new = {"text": texts, "n_chars": list(map(len, texts))}
+        cols = [pa.array(new[c], rows.schema.field(c).type) if c in new else rows.column(c) for c in names]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    return map_batches(docs, batch, docs.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"))

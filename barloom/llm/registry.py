@@ -14,8 +14,14 @@ from .secrets import op4_secrets
 from .tokens import op6_tokens
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op5_lm": op5_lm, "op6_tokens": op6_tokens, "op7_language": op7_language, "op8_quality": op8_quality, "op9_neighbours": op9_neighbours, "op10_dedup": op10_dedup}
+    return {"pipeline": pipeline, "op1_pii": op1_pii, "op2_mixing": op2_mixing, "op3_packing": op3_packing, "op4_secrets": op4_secrets, "op5_lm": op5_lm, "op6_tokens": op6_tokens, "op7_language": op7_language, "op8_quality": op8_quality, "op9_neighbours": op9_neighbours, "op10_dedup": op10_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -107,3 +107,10 @@ def replace_nan(df: DataFrame) -> DataFrame:
     """NaN and infinities of double columns become NULL."""
     fix = {n: F.when(~F.isnan(n) & (F.abs(F.col(n)) < float("inf")), F.col(n)) for n, t in df.dtypes if t in ("double", "float")}
     return df.withColumns(fix) if fix else df
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's correlation over rows that have both; NULL, not an error, where either does not vary."""
+    a = F.when(c(y).isNotNull(), c(x).cast("double"))
+    b = F.when(c(x).isNotNull(), c(y).cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

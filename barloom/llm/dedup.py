@@ -8,7 +8,8 @@ equal registers sifts them, and the full sets confirm links.
 1. Documents with equal sets are one class; only its smallest id goes on.
 2. In each bucket of a band every member is paired with the bucket's smallest id, which is linear in the bucket.
 3. Components of the confirmed links. A bucket whose members are in one component is done.
-4. In any other bucket, blocks of members meet in pairs of blocks. Members of different components that look alike by
+4. In any other bucket, members outside its largest component meet all others: in pairs of blocks among themselves, and the
+   largest component's members pass by each block. Members of different components that look alike by
    their registers are confirmed on full sets; pairs that a link just found has joined are skipped, for they can't
    change a component.
 
@@ -36,6 +37,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Estimates from here on are confirmed: 0.75 less five standard errors of the estimate.
 CUT = 0.56
 BLOCK = 256
+#: In place of a block's number: a member of its bucket's largest component.
+MAIN = -1
 BROADCAST_IDS = 500_000
 FACTORS = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -113,13 +116,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
     own = docs.select(docs["doc_id"].cast("long").alias("id"), "text").join(few, "id", "left_semi")
-    sets = map_batches(own, batch, "id bigint, set array<bigint>")
-    return written(sets, name)
-
-
-def one_row(sets: DataFrame) -> DataFrame:
-    """Rows that share an id give way to the largest set."""
-    return sets.groupBy("id").agg(F.max(F.struct(F.size("set"), "set"))["set"].alias("set"))
+    sets = written(map_batches(own, batch, "id bigint, set array<bigint>"), name)
+    if sets.groupBy("id").count().where("count > 1").limit(1).count():  # rows that share an id give way to the largest set
+        sets = written(sets.groupBy("id").agg(F.max(F.struct(F.size("set"), "set"))["set"].alias("set")), name)
+    return sets
 
 
 def similar(frame: DataFrame) -> DataFrame:
@@ -167,10 +167,10 @@ def look_alike(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     comp, n, mine, pivot, ids = (t.column(c).to_numpy() for c in ("component", "n", "mine", "pivot", "id"))
     r = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
-    left, right = np.flatnonzero(mine == bi), np.flatnonzero(mine == bj)
+    left, right = np.flatnonzero(mine == bi), np.flatnonzero((mine == bj) | (mine == MAIN) & (bi == bj))
     xs, ys = [], []
     for i in left.tolist():
-        j = right[(comp[right] != comp[i]) & ((right > i) | (bi != bj)) & (100 * np.minimum(n[right], n[i]) >= 75 * np.maximum(n[right], n[i])) & (ids[i] != pivot[i]) & (ids[right] != pivot[i])]
+        j = right[(comp[right] != comp[i]) & ((right > i) | (bi != bj) | (mine[right] == MAIN)) & (100 * np.minimum(n[right], n[i]) >= 75 * np.maximum(n[right], n[i])) & (ids[i] != pivot[i]) & (ids[right] != pivot[i])]
         if len(j):
             j = j[estimate(r[i], r[j], float(n[i]), n[j].astype(float)) >= CUT]
             xs.append(np.full(len(j), i))
@@ -186,13 +186,17 @@ def remaining_links(docs: DataFrame, members: DataFrame, found: DataFrame, sketc
     """Links between different components within the buckets of ``members`` (key, id, pivot, size)."""
     now = members.where("size > 2").join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
     now = written(now, "near-members")
-    open_keys = written(now.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key"), "near-open")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = now.join(open_keys, "key").withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    rows = rows.withColumns({"bi": F.least("mine", "other"), "bj": F.greatest("mine", "other")}).join(sketch, "id")
+    parts = now.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m"), F.count("*").alias("parts"))
+    main = written(main.where("parts > 1").select("key", (-F.col("m.c")).alias("main"), F.col("m.n").alias("main_n")), "near-open")
+    blocks = F.ceil((F.col("size") - F.col("main_n")) / BLOCK).cast("int")
+    mine = F.when(F.col("component") == F.col("main"), MAIN).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = now.join(main, "key").withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    own = F.col("mine") == MAIN
+    rows = rows.withColumns({"bi": F.when(own, F.col("other")).otherwise(F.least("mine", "other")), "bj": F.when(own, F.col("other")).otherwise(F.greatest("mine", "other"))}).join(sketch, "id")
     cols = [x.split()[0] for x in MEMBER.split(", ")]
-    dealt = rows.select(*cols).repartition(*KEYS).sortWithinPartitions(*KEYS, "id")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said outright, as little data means much work here
+    dealt = rows.select(*cols).repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "id")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, KEYS):
@@ -204,8 +208,8 @@ def remaining_links(docs: DataFrame, members: DataFrame, found: DataFrame, sketc
     ids = written(seen.select("id").distinct(), "near-ids")
     if not ids.limit(1).count():
         return None
-    sets = one_row(sets_of(docs, ids, "near-sets"))
-    again = seen.join(sets, "id").select(*cols, "set").repartition(*KEYS).sortWithinPartitions(*KEYS, "id")
+    sets = sets_of(docs, ids, "near-sets")
+    again = seen.join(sets, "id").select(*cols, "set").repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "id")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, KEYS):
@@ -254,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(similar(pairs.join(side("a"), "a").join(side("b"), "b")), "near-pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    links = written(confirm(pairs, one_row(sets_of(docs, ids, "near-sets"))), "near-links")
+    links = written(confirm(pairs, sets_of(docs, ids, "near-sets")), "near-links")
     more = remaining_links(docs, members, links, sketch)
     links = links if more is None else links.union(more)
     found = components(links.union(copies.distinct()))

@@ -4,7 +4,8 @@ Counts travel as packed arrays: a task adds up what it reads, and sends each sha
 Shards merge them and write raw sorted arrays to the shared folder:
 
 * words: 64-bit hashes, sorted over all shards, so that a word's place is its id; counts beside them;
-* bigrams: pairs of ids, dealt to shards by a hash of the pair, so a frequent word's pairs spread over all shards;
+* bigrams: hashes of pairs of ids, sorted over all shards too, so a frequent word's pairs spread over all shards; the hash can be
+  undone, so it is exact;
 * statistics of each id: tokens and discount mass as a context, and distinct words before it.
 
 Workers map these arrays into memory and look words and pairs up by binary search. Nothing that grows with the
@@ -20,6 +21,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -55,6 +57,21 @@ def merge(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(values[order], first, axis=0, dtype=values.dtype) if len(first) else values[:0]
 
 
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))).astype(np.uint32)
+
+
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix64: shifts are undone step by step, factors by their inverses modulo 2**64."""
+    for shift, factor in ((31, 0x319642B2D24D8EC3), (27, 0x96DE1B173F119089)):
+        x = x ^ (x >> np.uint64(shift)) ^ (x >> np.uint64(2 * shift))
+        x = x * np.uint64(factor)
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 # Files of the shared folder.
 
 
@@ -82,107 +99,121 @@ def mapped(path: str) -> np.ndarray:
         return np.memmap(copy.name, np.uint8, "r") if copy.tell() else np.zeros(0, np.uint8)
 
 
-class Words:
-    """Ids and training counts of words, from the sorted hash arrays."""
+class Shards:
+    """Sorted hash arrays over shards by ranges of hashes: files of hashes and, after them, values of one kind."""
 
-    def __init__(self, path: str, sizes: list[int]):
-        self.first = np.cumsum([0, *sizes])
-        self.shards = len(sizes)
-        files = [mapped(f"{path}/{WORDS}-{s}") if n else np.zeros(0, np.uint8) for s, n in enumerate(sizes)]
+    def __init__(self, path: str, name: str, sizes: tuple[int, ...], kind: type):
+        files = [mapped(f"{path}/{name}-{s}") if n else np.zeros(0, np.uint8) for s, n in enumerate(sizes)]
         self.hash = [f[: 8 * n].view(np.uint64) for f, n in zip(files, sizes)]
-        self.count = [f[8 * n :].view(np.int64) for f, n in zip(files, sizes)]
-        self.known: dict[bytes, int] = {}
+        self.value = [f[8 * n :].view(kind) for f, n in zip(files, sizes)]
+        self.first = np.cumsum([0, *sizes])
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of hashes; -1 where there is none."""
-        out = np.full(len(h), -1, np.int64)
-        of = shard_of(h, self.shards)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(self.shards + 1))
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash over all shards, -1 where it is not, and its value, else 0."""
+        order = np.argsort(h)
+        h = h[order]
+        edges = np.searchsorted(shard_of(h, len(self.hash)), np.arange(len(self.hash) + 1))
+        place, value = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            i, own = order[edges[s] : edges[s + 1]], self.hash[s]
+            own, part = self.hash[s], slice(edges[s], edges[s + 1])
             if len(own):
-                at = np.minimum(np.searchsorted(own, h[i]), len(own) - 1)
-                out[i] = np.where(own[at] == h[i], at + self.first[s], -1)
-        return out
+                at = np.minimum(np.searchsorted(own, h[part]), len(own) - 1)
+                hit = own[at] == h[part]
+                place[part] = np.where(hit, at + self.first[s], -1)
+                value[part] = np.where(hit, self.value[s][at], 0)
+        out_place, out_value = np.empty_like(place), np.empty_like(value)
+        out_place[order], out_value[order] = place, value
+        return out_place, out_value
 
-    def ids(self, words: list[bytes], most: int = 600_000) -> np.ndarray:
-        new = list(set(words) - self.known.keys())
-        if new:
-            if len(self.known) + len(new) > most:
-                self.known.clear()
-                new = list(set(words))
-            found = self.find(np.fromiter(map(word_hash, new), np.uint64, len(new)))
-            self.known.update(zip(new, found.tolist()))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        return self.gather(self.count, ids)
-
-    def gather(self, arrays: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
-        """arrays[shard][place] of distinct sorted ids; 0 for -1."""
-        out = np.zeros(len(ids), arrays[0].dtype if arrays else np.int64)
-        edges = np.searchsorted(ids, self.first)
-        for s in range(self.shards):
-            if edges[s + 1] > edges[s]:
-                out[edges[s] : edges[s + 1]] = arrays[s][ids[edges[s] : edges[s + 1]] - self.first[s]]
-        return out
+
+class Slots(dict):
+    """Words to slots; a worker holds what it knows of its words by slot, and starts anew beyond ``most`` of them."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most, self.fresh = most, []
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        self.fresh.append(w)
+        return n
+
+    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, list[bytes], bool]:
+        """Slots of tokens, the words that are new in order of their slots, and whether slots start anew."""
+        if anew := len(self) > self.most:
+            self.clear()
+        self.fresh = []
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)), self.fresh, anew
+
+
+class Words:
+    """Ids and training counts of words, from the sorted hash arrays, by slot."""
+
+    def __init__(self, path: str, sizes: tuple[int, ...]):
+        self.shards, self.slots = Shards(path, WORDS, sizes, np.int64), Slots()
+        self.id, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Slots of tokens, ids of the slots added, and whether slots start anew."""
+        slots, fresh, anew = self.slots.of(tokens)
+        place, count = self.shards.find(np.fromiter(map(word_hash, fresh), np.uint64, len(fresh)))
+        keep = slice(0, 0) if anew else slice(None)
+        self.id, self.count = np.append(self.id[keep], place), np.append(self.count[keep], count)
+        return slots, place, anew
 
 
 @lru_cache(maxsize=2)
 def words_at(path: str, sizes: tuple[int, ...]) -> Words:
-    return Words(path, list(sizes))
+    return Words(path, sizes)
 
 
 class Model:
     """The whole model as workers see it. ``sizes``: of the shards of words and of bigrams; ``first``, ``second``: discounts of bigrams and of words by distinct contexts."""
 
     def __init__(self, path: str, words: tuple[int, ...], pairs: tuple[int, ...], n: int, first: tuple, second: tuple, contexts: int, mass: float):
-        self.words, self.n, self.first, self.second, self.contexts, self.mass = words_at(path, words), n, np.array((0, *first)), np.array((0, *second)), contexts, mass
+        self.words, self.n, self.first, self.second, self.contexts, self.mass = Words(path, words), n, np.array((0, *first)), np.array((0, *second)), contexts, mass
         self.vocabulary = int(sum(words))
-        files = [mapped(f"{path}/{PAIRS}-{s}") if k else np.zeros(0, np.uint8) for s, k in enumerate(pairs)]
-        self.key = [f[: 8 * k].view(np.uint64) for f, k in zip(files, pairs)]
-        self.times = [f[8 * k :].view(np.uint32) for f, k in zip(files, pairs)]
+        self.pairs = Shards(path, PAIRS, pairs, np.uint32)
         sizes = (*words, 1 if sum(words) else 0)
         stats = [mapped(f"{path}/{STATS}-{s}") if k else np.zeros(0, np.uint8) for s, k in enumerate(sizes)]
+        self.edges = np.cumsum([0, *sizes])
         self.tokens = [f[: 8 * k].view(np.float64) for f, k in zip(stats, sizes)]
         self.gamma = [f[8 * k : 16 * k].view(np.float64) for f, k in zip(stats, sizes)]
         self.before = [f[16 * k :].view(np.int64) for f, k in zip(stats, sizes)]
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct sorted pairs."""
-        out = np.zeros(len(keys), np.int64)
-        of = shard_of(mix64(keys), len(self.key))
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(len(self.key) + 1))
-        for s in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            i, own = order[edges[s] : edges[s + 1]], self.key[s]
-            if len(own):
-                at = np.minimum(np.searchsorted(own, keys[i]), len(own) - 1)
-                out[i] = np.where(own[at] == keys[i], self.times[s][at], 0)
-        return out
+        self.low, self.size, self.mix = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.begin = (float(self.tokens[-1][0]), float(self.gamma[-1][0])) if self.vocabulary else (0.0, 1.0)
 
     def by_id(self, arrays: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
-        out = self.words.gather(arrays, ids)
-        if len(ids) and ids[-1] == self.vocabulary:  # the beginning of a text
-            out[-1] = arrays[-1][0] if len(arrays[-1]) else 0
+        """Values of ids; 0 for -1."""
+        out = np.zeros(len(ids), np.float64)
+        of = np.searchsorted(self.edges, ids, side="right") - 1
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(len(arrays) + 1))
+        for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            i = order[ends[s] : ends[s + 1]]
+            out[i] = arrays[s][ids[i] - self.edges[s]]
         return out
 
-    def log_probabilities(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """log10 p(v | u) of ids, -1 for unknown words."""
+    def score(self, tokens: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts, and log10 probabilities after the word before, of tokens of texts that begin at ``starts``."""
+        v, fresh, anew = self.words.look_up(tokens)
         if not self.vocabulary:
-            return np.zeros(len(v))
-        ids, at = np.unique(v, return_inverse=True)
-        c = self.by_id(self.before, ids)
-        low = (np.maximum(c - self.second[np.minimum(c, 3)], 0) / self.contexts + self.mass / (self.vocabulary + 1))[at]
-        ids, at = np.unique(u, return_inverse=True)
-        tokens, gamma = self.by_id(self.tokens, ids)[at], self.by_id(self.gamma, ids)[at]
-        known = (u >= 0) & (v >= 0) & (tokens > 0)
-        keys, back = np.unique((u[known].astype(np.uint64) << np.uint64(32)) | v[known].astype(np.uint64), return_inverse=True)
-        c = self.pair_counts(keys)[back]
-        p = np.where(tokens > 0, gamma, 1.0) * low
-        p[known] += np.maximum(c - self.first[np.minimum(c, 3)], 0) / tokens[known]
-        return np.log10(p)
+            return np.zeros(len(v), np.int64), np.zeros(len(v))
+        c = self.by_id(self.before, fresh)
+        low = np.maximum(c - self.second[np.minimum(c, 3).astype(np.int64)], 0) / self.contexts + self.mass / (self.vocabulary + 1)
+        size = self.by_id(self.tokens, fresh)
+        mix = np.where(size > 0, self.by_id(self.gamma, fresh), 1.0)
+        keep = slice(0, 0) if anew else slice(None)
+        self.low, self.size, self.mix = (np.append(old[keep], new) for old, new in ((self.low, low), (self.size, size), (self.mix, mix)))
+        u = np.concatenate(([0], v[:-1]))
+        size, mix, left = self.size[u], self.mix[u], self.words.id[u]
+        size[starts], mix[starts], left[starts] = *self.begin, self.vocabulary
+        right = self.words.id[v]
+        p = mix * self.low[v]
+        known = np.flatnonzero((left >= 0) & (right >= 0) & (size > 0))
+        _, c = self.pairs.find(mix64(left[known].astype(np.uint64) << np.uint64(32) | right[known].astype(np.uint64)))
+        p[known] += np.maximum(c - self.first[np.minimum(c, 3)], 0) / size[known]
+        return self.words.count[v], np.log10(p)
 
 
 @lru_cache(maxsize=1)
@@ -206,14 +237,15 @@ def slices(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, int]]:
         yield tokens, np.array(ends), first
 
 
-def gathered(batches: Iterator[pa.RecordBatch], parts: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]], shards: int, spread: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's (keys, counts), packed for the shards."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def gathered(batches: Iterator[pa.RecordBatch], parts: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray | None]]], shards: int) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's hashes, packed for the shards; parts give hashes with counts, or as they come."""
+    held: list[tuple[np.ndarray, np.ndarray | None]] = []
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        keys, values = merge(*(np.concatenate(x) for x in zip(*held)))
-        yield from packed(shard_of(spread(keys), shards), shards, keys, values)
+        keys = np.concatenate([k for k, _ in held])
+        keys, values = tally(keys) if held[0][1] is None else merge(keys, np.concatenate([v for _, v in held]))
+        yield from packed(shard_of(keys, shards), shards, keys, values)
 
     for b in batches:
         for keys, values in parts(text_bytes(b.column("text"))):
@@ -227,10 +259,10 @@ def gathered(batches: Iterator[pa.RecordBatch], parts: Callable[[list[bytes]], I
 
 
 def packed(of: np.ndarray, shards: int, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(shards + 1))
+    """A row for each shard with what of each array is its own; ``of`` rises."""
+    edges = np.searchsorted(of, np.arange(shards + 1))
     full = np.flatnonzero(edges[1:] > edges[:-1]).tolist()
-    blobs = [[np.ascontiguousarray(a[order[edges[s] : edges[s + 1]]]).tobytes() for s in full] for a in arrays]
+    blobs = [[np.ascontiguousarray(a[edges[s] : edges[s + 1]]).tobytes() for s in full] for a in arrays]
     if full:
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], ["shard", *"kvw"[: len(arrays)]])
 
@@ -251,8 +283,8 @@ def by_shard(df: DataFrame, shards: int, f: Callable[[int, list[list[bytes]]], I
         if held:
             yield from f(at, list(map(list, zip(*held))))
 
-    # By range, as the shards' numbers would collide under a hash.
-    return df.repartitionByRange(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    # A shard's number is its partition's, as numbers would collide under a hash and a range would be sampled first.
+    return df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 def joined(blobs: list[bytes], kind: type) -> np.ndarray:
@@ -278,15 +310,15 @@ def train(docs: DataFrame, shards: int | None = None) -> tuple[str, tuple]:
 
         def parts(texts):
             for tokens, _, _ in slices(texts):
-                distinct = list(set(tokens) - known.keys())
-                if len(known) + len(distinct) > 600_000:
+                counts = Counter(tokens)
+                new = counts.keys() - known.keys()
+                if len(known) + len(new) > 600_000:
                     known.clear()
-                    distinct = list(set(tokens))
-                known.update(zip(distinct, map(word_hash, distinct)))
-                h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-                yield merge(h, np.ones(len(h), np.uint32))
+                    new = counts.keys()
+                known.update(zip(new, map(word_hash, new)))
+                yield np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts)), np.fromiter(counts.values(), np.uint32, len(counts))
 
-        return gathered(batches, parts, shards, lambda k: k)
+        return gathered(batches, parts, shards)
 
     def save_words(shard, blobs):
         keys, counts = merge(joined(blobs[0], np.uint64), joined(blobs[1], np.uint32).astype(np.int64))
@@ -307,13 +339,13 @@ def train(docs: DataFrame, shards: int | None = None) -> tuple[str, tuple]:
 
         def parts(texts):
             for tokens, ends, _ in slices(texts):
-                ids = words.ids(tokens)
+                slots, _, _ = words.look_up(tokens)
+                ids = words.id[slots]
                 before = np.concatenate(([v], ids[:-1]))
                 before[ends[:-1] + 1] = v
-                keys = (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-                yield merge(keys, np.ones(len(keys), np.uint32))
+                yield mix64((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)), None
 
-        return gathered(batches, parts, shards, mix64)
+        return gathered(batches, parts, shards)
 
     edges = np.cumsum([0, *sizes])
 
@@ -321,7 +353,8 @@ def train(docs: DataFrame, shards: int | None = None) -> tuple[str, tuple]:
         """Write the shard's bigrams; what they tell of contexts and of words goes to the words' shards."""
         keys, counts = merge(joined(blobs[0], np.uint64), joined(blobs[1], np.uint32).astype(np.int64))
         save(f"{path}/{PAIRS}-{shard}", keys, np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-        u, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+        pair = unmix64(keys)
+        u, w = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
         stats = np.stack([counts, counts == 1, counts == 2, counts > 2, np.zeros_like(counts)], axis=1).astype(np.int64)
         a, sa = merge(u, stats)
         b, sb = merge(w, np.tile(np.array([0, 0, 0, 0, 1]), (len(w), 1)))
@@ -369,14 +402,10 @@ def scored(docs: DataFrame, model: tuple) -> DataFrame:
         m = model_at(*model)
         out: list[list[np.ndarray]] = [[], [], [], []]
         for tokens, ends, _ in slices(text_bytes(b.column("text"))):
-            ids = m.words.ids(tokens)
             starts = np.concatenate(([0], ends[:-1] + 1))
-            before = np.concatenate(([m.vocabulary], ids[:-1]))
-            before[starts] = m.vocabulary
-            distinct, at = np.unique(ids, return_inverse=True)
-            counts = m.words.counts(distinct)[at] if m.vocabulary else np.zeros(len(ids), np.int64)
+            counts, score = m.score(tokens, starts)
             base = np.log10((counts + 1) / (m.n + m.vocabulary + 1))
-            for c, x in zip(out, (np.ones(len(ids), np.int64), (counts > 0).astype(np.int64), base, m.log_probabilities(before, ids))):
+            for c, x in zip(out, (np.ones(len(counts), np.int64), (counts > 0).astype(np.int64), base, score)):
                 c.append(np.add.reduceat(x, starts))
         cols = [np.concatenate(c) for c in out]
         n = np.full(b.num_rows, m.n, np.int64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +124,7 @@ def synthetic_bars(spark: SparkSession, n: int = 10_000, seed: int = 42, drift:
     ts = F.to_timestamp_ntz(F.lit("2020-01-01 09:15:00")) + F.make_dt_interval(day.cast("int"), F.lit(0), (slot * 30).cast("int"))
     raw = spark.range(n).select(F.lit(symbol).alias("symbol"), "id", ts.alias("ts"), (F.randn(seed) * noise + (drift - noise * noise / 2)).alias("r"), (F.abs(F.randn(seed + 1)) * 0.003).alias("up"), (F.abs(F.randn(seed + 2)) * 0.003).alias("down"))
     w = bars_window()
-    close = raw.withColumn("close", F.lit(start) * F.exp(F.sum("r").over(w.rowsBetween(-(2**62), 0))))
+    close = raw.withColumn("close", F.lit(start) * F.exp(F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     return close.select("symbol", "ts", F.coalesce(F.lag("close").over(w), F.lit(start)).alias("open"), (F.col("close") * (1 + F.col("up"))).alias("high"), (F.col("close") * (1 - F.col("down"))).alias("low"), "close")
 
 

@@ -48,8 +48,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts or sets are large: the session's default of rows in an Arrow batch is lowered, another setting is kept."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors cost nothing."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -63,11 +70,20 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def portions(b: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``most`` bytes, so what Python makes of them stays small."""
+    rows = max(1, b.num_rows * most // max(1, b.nbytes))
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = f(b)
+            for part in portions(b):
+                out = f(part)
                 if out is not None:
                     yield out
 
@@ -77,7 +93,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
 class WordHash(dict):
     """64-bit hashes of words, remembered up to ``most`` words; the memory is bounded, the hashes do not depend on it."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 250_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

@@ -41,7 +41,7 @@ def window_entropies(s: str, w: int) -> list[float]:
 
     With c the counts of a window, its entropy is log2(w) - sum(c log2 c) / w; a step changes two terms.
     """
-    term = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for i, ch in enumerate(s):

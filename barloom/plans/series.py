@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scan
+from ..functions.chunks import by_chunks, indexed
 from ..functions.series import bars_window, compounded, cumulative_log_return, diff, drawdown, lag, log_return, rank_in, rolling, rolling_mean, rolling_std, simple_return, true_range
 from ..operators import features as ft
 from ..operators import labels as lb
 from ..sources import bars as src
-from .base import BARS, OVER, WITH, bars, frame, plain_ewm, q, query, r, roll, seeded, shown
+from .base import BARS, ORACLES, OVER, WITH, bars, frame, plain_ewm, q, query, r, roll, seeded, shown
 
 SHORT = ft.SHORT
 
@@ -292,6 +293,21 @@ def feature_ichimoku(spark, sf):
     return shown(ft.frame_features(bars(spark, sf)), *[f"feat_ichimoku_dist_{x}" for x in ("tenkan", "kijun", "span_a", "span_b")])
 
 
+ORACLE_ICHIMOKU = ORACLES["feature_ichimoku"]
+
+
+@query(ORACLE_ICHIMOKU)
+def feature_frames_in_chunks(spark, sf):
+    """The same features with each symbol cut into chunks."""
+    out = by_chunks(bars(spark, sf), ft.frame_features, lookback=70, rows=150, stretch="3 days")
+    return shown(out, *[f"feat_ichimoku_dist_{x}" for x in ("tenkan", "kijun", "span_a", "span_b")])
+
+
+@query(f"{WITH} SELECT symbol, ts, rn - 1 AS i FROM b")
+def series_index(spark, sf):
+    return indexed(bars(spark, sf), "i", "2 days").select("symbol", "ts", F.col("i").cast("long").alias("i"))
+
+
 def label_sql(h: int, tp: float, sl: float, atr: str = "wilder") -> str:
     """CTEs ending in lab(...): barrier labels by joining each bar with the bars ahead."""
     return f"""{seeded('wa', 'b', 'tr', 1 / 14, 14)}, v AS MATERIALIZED (SELECT b.symbol, b.ts, b.open, b.high, b.low, b.close, wa.y AS atr, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts) - 1 AS i, count(*) OVER (PARTITION BY b.symbol) AS n

@@ -114,3 +114,9 @@ def correlation(x: str | Column, y: str | Column) -> Column:
     a = F.when(c(y).isNotNull(), c(x).cast("double"))
     b = F.when(c(x).isNotNull(), c(y).cast("double"))
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def quantile(x: str | Column, share: float, exact: bool = True) -> Column:
+    """A quantile as an aggregate. The exact one interpolates and holds a group's different values in memory; for groups of
+    billions, the other has a bounded sketch with a rank error below 1e-5."""
+    return F.percentile(c(x), F.lit(share)) if exact else F.percentile_approx(c(x), F.lit(share), F.lit(100_000))

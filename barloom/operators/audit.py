@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import correlation, lag, simple_return
+from ..functions.series import correlation, lag, quantile, simple_return
 
 PRICES = ["open", "high", "low", "close"]
 
@@ -157,11 +157,11 @@ def readiness(df: DataFrame, features: list[str], y: str, horizon: int, share: f
     return out.withColumn("flags", F.array_join(bad, ",")).withColumns({c: F.array_join(c, ",") for c in ("high_nan", "dead", "leaky")})
 
 
-def profile(long: DataFrame, keys: tuple[str, ...] = ("feature",)) -> DataFrame:
+def profile(long: DataFrame, keys: tuple[str, ...] = ("feature",), exact: bool = True) -> DataFrame:
     """Mean, deviation, bias-corrected skewness and excess kurtosis, quantiles and shares beyond 0.95 and 0.99."""
     v = F.col("value")
     out = long.where(v.isNotNull()).groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("_g"), F.kurtosis(v).alias("_k"), F.percentile(v, F.lit(0.25)).alias("p25"), F.percentile(v, F.lit(0.75)).alias("p75"), F.percentile(v, F.lit(0.99)).alias("p99"),
+        F.count("*").cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.skewness(v).alias("_g"), F.kurtosis(v).alias("_k"), quantile(v, 0.25, exact).alias("p25"), quantile(v, 0.75, exact).alias("p75"), quantile(v, 0.99, exact).alias("p99"),
         F.avg((F.abs(v) > 0.95).cast("int")).alias("over_95"), F.avg((F.abs(v) > 0.99).cast("int")).alias("over_99"),
     )
     n = F.col("n")

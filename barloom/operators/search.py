@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import to_column
+from ..functions.series import quantile
 
 #: Weights of the fitness (fixed values).
 PEARSON, DIRECTION, WRONG, SPREAD_FLOOR, SPREAD = 0.70, 0.30, 0.25, 0.08, 5.0
@@ -36,9 +37,9 @@ def walk_forward(df: DataFrame, start: str, train_months: int, test_months: int,
     return out.withColumn("_left", left).where((F.col("part") == "test") | (F.col("_left") > purge)).drop("_a", "_b", "_c", "_left")
 
 
-def fit_tanh(train: DataFrame, columns: list[str], key: str = "symbol") -> DataFrame:
+def fit_tanh(train: DataFrame, columns: list[str], key: str = "symbol", exact: bool = True) -> DataFrame:
     """A scale per column and symbol: the upper quartile of absolute values."""
-    return train.groupBy(key).agg(*[F.greatest(F.percentile(F.abs(c), F.lit(0.75)), F.lit(1e-8)).alias(f"_scale_{c}") for c in columns])
+    return train.groupBy(key).agg(*[F.greatest(quantile(F.abs(c), 0.75, exact), F.lit(1e-8)).alias(f"_scale_{c}") for c in columns])
 
 
 def apply_tanh(df: DataFrame, fitted: DataFrame, columns: list[str], key: str = "symbol") -> DataFrame:
@@ -74,7 +75,7 @@ def score_formulas(df: DataFrame, formulas: list[str], y: str, keys: list[str] |
     return wide.select(*(keys or []), pairs).select(*(keys or []), "x.*")
 
 
-def signal_quality(df: DataFrame, x: str, key: str = "symbol", upper: float = 0.85, lower: float = 0.15, least_unique: float = 0.10, least_sep: float = 0.05) -> DataFrame:
+def signal_quality(df: DataFrame, x: str, key: str = "symbol", upper: float = 0.85, lower: float = 0.15, least_unique: float = 0.10, least_sep: float = 0.05, exact: bool = True) -> DataFrame:
     """Per symbol: share of different values, entropy of a histogram of 20 bins, coverage at both ends, and the verdict."""
     col = F.col(x).cast("double")
     w = Window.partitionBy(key)
@@ -84,7 +85,7 @@ def signal_quality(df: DataFrame, x: str, key: str = "symbol", upper: float = 0.
     p = F.col("n") / (F.sum("n").over(w) + 1e-8)
     entropy = counts.withColumn("p", p).groupBy(key).agg((-F.sum(F.col("p") * F.ln(F.col("p") + 1e-8)) / math.log(20)).alias("norm_entropy"))
     stats = binned.groupBy(key).agg(
-        (F.count_distinct(F.bround("_x", 5)) / F.count("*")).alias("unique_ratio"), F.percentile("_x", F.lit(upper)).alias("entry"), F.percentile("_x", F.lit(lower)).alias("exit")
+        (F.count_distinct(F.bround("_x", 5)) / F.count("*")).alias("unique_ratio"), quantile("_x", upper, exact).alias("entry"), quantile("_x", lower, exact).alias("exit")
     )
     cover = binned.join(stats, key).groupBy(key).agg(F.avg((F.col("_x") >= F.col("entry")).cast("int")).alias("long_cov"), F.avg((F.col("_x") <= F.col("exit")).cast("int")).alias("short_cov"))
     out = stats.join(entropy, key).join(cover, key)

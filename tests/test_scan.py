@@ -49,3 +49,10 @@ def test_symbols_are_apart_and_columns_stay(spark):
     got = scan.ewm(df, {"y": ("x", 0.5)}, adjust=False)
     assert set(got.columns) == {"symbol", "ts", "x", "more", "y"}
     assert out(got.where("symbol = 't'")).tolist() == [10.0, 15.0, 22.5]
+
+
+def test_quantiles(spark):
+    from barloom.functions.series import quantile
+
+    df = spark.createDataFrame([(float(i),) for i in range(1, 5)], "x double")
+    assert df.agg(quantile("x", 0.75)).first()[0] == 3.25 and df.agg(quantile("x", 0.75, exact=False)).first()[0] == 3.0

@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are found by fixed patterns (email, ip, card, phone). The corpus then tells how much a
-term near an entity reveals it: with document frequencies of the entity c, the term t and both, the term discloses
-c if PMI(c; t) >= alpha * IC(c), and if at least ``support`` different contexts say so, so that
-copies of one document are no evidence. Disclosing terms become spans of kind ``term`` and are removed from
-the text; entities are generalised to the name of their kind.
+term in an entity's documents reveals it: with document frequencies of the entity c, the term t and both, the term
+discloses c if PMI(c; t) >= alpha * IC(c), and if at least ``support`` different texts say so, so that
+copies of one document are no evidence. Disclosing terms become spans of kind ``term`` wherever they stand, in
+documents without the entity too, and are removed from the text; entities are generalised to the name of their kind.
 
 Defined results: a null text counts as empty and has no spans; positions are code points, ends exclusive; repeated rows
 give repeated results; a null id is kept; columns other than doc_id and text are ignored; an empty
@@ -14,13 +14,15 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, written
+from .common import map_batches, small_batches, table, written
 from .secrets import joined, redact, sha
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -32,11 +34,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){13,}+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Terms are words in so many words on either side of an entity.
-WINDOW, ALPHA, SUPPORT = 6, 0.9, 3
-#: Up to so many rows of disclosing terms may be broadcast.
-BROADCAST_ROWS = 50_000
+ALPHA, SUPPORT = 0.9, 3
+#: Up to so many disclosing terms go to every task whole; more are joined to the documents that hold them.
+BROADCAST_TERMS = 2_000_000
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+MARKS = ".,;:!?()\"'"
 
 
 def luhn(digits: str) -> bool:
@@ -81,31 +83,42 @@ def hash64(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
-def contexts(t: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """A row for each entity and term near it: hashes of both and of the window, and the term's places; term 0 stands for the entity itself."""
-    rows: dict[tuple[int, int], dict] = {}
-    for kind, a, b in spans:
-        left = list(TOKEN.finditer(t, max(0, a - 40 * WINDOW), a))[-WINDOW:]
-        right = []
-        for m in TOKEN.finditer(t, b):
-            right.append(m)
-            if len(right) == WINDOW:
-                break
-        entity = hash64(kind, t[a:b])
-        near = [m for m in left + right if not any(x < m.end() and m.start() < y for _, x, y in spans)]
-        context = hash64(*[m.group().lower() for m in near])
-        rows.setdefault((entity, 0), {"entity": entity, "term": 0, "context": context, "at": []})
-        for m in near:
-            word = m.group().lower().strip(".,;:!?()\"'")
-            if len(word) < 3:
-                continue
-            row = rows.setdefault((entity, h := hash64(word)), {"entity": entity, "term": h, "context": context, "at": []})
-            row["at"].append({"a": m.start(), "b": m.end()})
-    return list(rows.values())
-
-
-CONTEXT = "array<struct<entity:bigint,term:bigint,context:bigint,at:array<struct<a:int,b:int>>>>"
-CONTEXT_ARROW = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("at", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
+class TermHash(dict):
+    """Hashes of tokens as terms, 0 for what is no term or not in ``only`` (sorted); remembered up to ``most`` tokens."""
+
+    def __init__(self, only: np.ndarray | None = None, most: int = 300_000):
+        super().__init__()
+        self.only, self.most = only, most
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        word = token.lower().strip(MARKS)
+        h = hash64(word) if len(word) >= 3 else 0
+        if self.only is not None and h:
+            i = np.searchsorted(self.only, h)
+            h = h if i < len(self.only) and self.only[i] == h else 0
+        self[token] = h
+        return h
+
+
+def free_tokens(t: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """Tokens that touch no span."""
+    taken, i, end = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in TOKEN.finditer(t):
+        while i < len(taken) and taken[i][0] < m.end():
+            end = max(end, taken[i][1])
+            i += 1
+        if end <= m.start():
+            yield m
+
+
+def term_places(t: str, spans: list[tuple[str, int, int]], hashes: TermHash, own: set[int] | None = None) -> list[tuple[int, int]]:
+    """Places of all terms of ``hashes``, or of those in ``own``, that touch no span."""
+    wanted = (lambda w: hashes[w]) if own is None else lambda w: hashes[w] in own
+    if not any(map(wanted, set(TOKEN.findall(t)))):
+        return []
+    return [m.span() for m in free_tokens(t, spans) if wanted(m.group())]
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -113,19 +126,21 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Entities of each document, and the terms near them; ``key`` stands for the row's id and text."""
+    """text (hash), entities and terms, each once, of documents that hold entities."""
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = b.column("doc_id")
-        bases, near = [], []
-        for t in b.column("text").to_pylist():
-            spans = base_spans(t or "")
-            bases.append([{"kind": k, "a": x, "b": y} for k, x, y in spans])
-            near.append(contexts(t, spans) if spans else [])
-        base = pa.array(bases, pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32())])))
-        return pa.RecordBatch.from_arrays([ids, b.column("key"), base, pa.array(near, CONTEXT_ARROW)], ["doc_id", "key", "base", "near"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TermHash()
+        for b in batches:
+            same, entities, terms = [], [], []
+            for key, t in zip(b.column("same").to_pylist(), b.column("text").to_pylist()):
+                if t and (spans := base_spans(t)):
+                    same.append(key)
+                    entities.append(list({hash64(kind, t[x:y]) for kind, x, y in spans}))
+                    terms.append(list({hashes[m.group()] for m in free_tokens(t, spans)} - {0}))
+            if same:
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))], ["same", "entities", "terms"])
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_key(docs).alias("key")), batch, f"doc_id bigint, key bigint, base array<struct<kind:string,a:int,b:int>>, near {CONTEXT}")
+    return docs.select("text", F.xxhash64("text").alias("same")).mapInArrow(run, "same bigint, entities array<bigint>, terms array<bigint>")
 
 
 def document_frequencies(docs: DataFrame, most: int = 300_000) -> DataFrame:
@@ -157,43 +172,79 @@ def document_frequencies(docs: DataFrame, most: int = 300_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """entity, term for every term that discloses an entity."""
-    pairs = found.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term", "x.context").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
-    pairs = written(pairs.where((F.col("term") == 0) | (F.col("contexts") >= support)), "pii-pairs")
-    entities = pairs.where("term = 0").select("entity", F.col("both").alias("entity_df"))
-    pairs = pairs.where("term <> 0").join(entities, "entity")
+def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+    """entity, term for every term that discloses an entity; an entity of fewer than ``support`` texts has none."""
+    small_batches(docs.sparkSession)
+    found = written(find(docs), "pii-found")
+    each = found.select("same", F.explode("entities").alias("entity")).groupBy("entity", "same").agg(F.count("*").alias("n"))
+    entities = each.groupBy("entity").agg(F.sum("n").alias("entity_df"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    each = written(each.join(entities, "entity"), "pii-entities")
+    texts = found.groupBy("same").agg(F.first("terms").alias("terms"))
+    pairs = texts.join(each, "same").select("entity", "entity_df", "n", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "entity_df", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    pairs = written(pairs.where(F.col("texts") >= support), "pii-pairs")
+    if pairs.isEmpty():
+        return pairs.select("entity", "term")
     terms = document_frequencies(docs).join(pairs.select("term").distinct(), "term", "left_semi")
-    n = F.lit(float(max(1, found.count())))
+    n = F.lit(float(max(1, docs.count())))
     ic = F.log2(n / F.col("entity_df"))
     pmi = F.log2(n * F.col("both") / (F.col("df") * F.col("entity_df")))
-    return written(pairs.join(terms, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term"), "pii-terms")
+    return pairs.join(terms, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, terms (array of places) for documents that hold disclosing terms."""
-    near = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.at").where("term <> 0")
-    return near.join(terms, ["entity", "term"], "left_semi").select("key", F.explode("at").alias("at")).groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("terms"))
+def held_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """_key, _terms: the terms, out of ``terms``, that a document holds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TermHash()
+        for b in batches:
+            for key, t in zip(b.column("_key").to_pylist(), b.column("text").to_pylist()):
+                own = list({hashes[w] for w in set(TOKEN.findall(t or ""))} - {0})
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array(own, pa.int64())], ["_key", "term"])
 
-def places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What find() gives, and term_spans() of it, to be broadcast where its counted size allows."""
-    found = written(find(docs), "pii-found")
-    spans = written(term_spans(found, disclosing(docs, found)), "pii-spans")
-    return found, F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    held = docs.select("text", row_key(docs).alias("_key")).mapInArrow(run, "_key bigint, term bigint")
+    return held.join(terms, "term", "left_semi").groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+
+
+def with_terms(docs: DataFrame, most: int = BROADCAST_TERMS) -> tuple[DataFrame, np.ndarray | None]:
+    """``docs`` with ``_terms``, and all disclosing terms, sorted; more than ``most`` are None, and each document has its own in ``_terms``."""
+    terms = written(disclosing(docs).select("term").distinct(), "pii-terms")
+    if terms.count() <= most:
+        return docs.withColumn("_terms", F.lit(None).cast("array<bigint>")), np.sort(terms.toArrow().column("term").to_numpy().astype(np.int64))
+    own = written(held_terms(docs, terms), "pii-own")
+    return docs.withColumn("_key", row_key(docs)).join(own, "_key", "left").drop("_key"), None
+
+
+def places(b: pa.RecordBatch, hashes: TermHash) -> Iterator[tuple[list, list]]:
+    """Base spans and places of terms of every row."""
+    whole = hashes.only is not None
+    for t, own in zip(b.column("text").to_pylist(), b.column("_terms").to_pylist()):
+        spans = base_spans(t or "")
+        none = not len(hashes.only) if whole else not own
+        yield spans, [] if none or not t else term_places(t, spans, hashes, None if whole else set(own))
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base and terms of every document."""
-    found, few = places(docs)
-    return found.drop("near").join(few, "key", "left")
+def detect(docs: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """doc_id, base and terms of every document."""
+    keyed, known = with_terms(docs, most)
+    span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+    hashes = TermHash(known)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        bases, terms = [], []
+        for spans, at in places(b, hashes):
+            bases.append([{"kind": k, "a": x, "b": y} for k, x, y in spans])
+            terms.append([{"a": x, "b": y} for x, y in at])
+        base = pa.array(bases, pa.list_(pa.struct([("kind", pa.string()), *span])))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), base, pa.array(terms, pa.list_(span))], ["doc_id", "base", "terms"])
+
+    rows = keyed.select(keyed["doc_id"].cast("long").alias("doc_id"), "text", "_terms")
+    return map_batches(rows, batch, "doc_id bigint, base array<struct<kind:string,a:int,b:int>>, terms array<struct<a:int,b:int>>")
 
 
 def all_spans(base: list, terms: list | None) -> list[tuple[str, int, int]]:
-    """Base spans, and places of terms that touch none of them."""
-    spans = [(x["kind"], x["a"], x["b"]) for x in base]
-    return spans + [("term", x["a"], x["b"]) for x in terms or () if not any(a < x["b"] and x["a"] < b for _, a, b in spans)]
+    """Base spans, and places of terms, which touch none of them."""
+    return [(x["kind"], x["a"], x["b"]) for x in base] + [("term", x["a"], x["b"]) for x in terms or ()]
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -211,19 +262,16 @@ def report(found: DataFrame) -> DataFrame:
     return map_batches(found.select("doc_id", "base", "terms"), batch, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns: n_chars follows the text. In ``text``, entities give way to the name of their kind and disclosing terms to [TERM].
-
-    Only the places of disclosing terms travel; entities are found again where the text is.
-    """
-    _, few = places(docs)
-    keyed = docs.withColumn("_key", row_key(docs)).join(few.withColumnsRenamed({"key": "_key", "terms": "_terms"}), "_key", "left")
+def sanitise(docs: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """``docs`` with the same columns: n_chars follows the text. In ``text``, entities give way to the name of their kind and disclosing terms to [TERM]."""
+    keyed, known = with_terms(docs, most)
     rest = docs.columns
+    hashes = TermHash(known)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for t, terms in zip(b.column("text").to_pylist(), b.column("_terms").to_pylist()):
-            spans = all_spans([dict(zip(("kind", "a", "b"), x)) for x in base_spans(t or "")], terms)
+        for t, (base, terms) in zip(b.column("text").to_pylist(), places(b, hashes)):
+            spans = base + [("term", x, y) for x, y in terms]
             texts.append(redact(t, spans) if spans else t)
         new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
         cols = [pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in rest]

@@ -110,6 +110,23 @@ def test_disclosing_terms(spark):
     assert "the [TERM] [TERM] [EMAIL]" in clean[0] and clean[100] == texts[100]
 
 
+def test_disclosing_terms_anywhere(spark):
+    """A term goes wherever it stands: far from the entity, and in a document without it; a template line is evidence once for each text."""
+    fill = lambda i, n: " ".join(f"w{i}q{j}" for j in range(n))
+    texts = [f"{fill(i, 3)} from Zorbian write to jo@zorb.example today {fill(i + 1000, 30)} Zorbian {fill(i + 2000, 40)} Quellish" for i in range(8)]
+    texts += [f"{fill(i, 20)} today from write to" for i in range(8, 300)] + ["w300q1 so said Zorbian, again"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    for most in (pii.BROADCAST_TERMS, 0):
+        clean = {x["doc_id"]: x["text"] for x in pii.sanitise(docs, most).collect()}
+        assert not any("Zorbian" in t or "Quellish" in t for t in clean.values())
+        assert clean[300] == "w300q1 so said [TERM] again" and clean[0].count("[TERM]") == 3
+        assert all(clean[i] == texts[i] for i in range(8, 300))
+        got = {x["doc_id"]: x["spans"] for x in pii.report(pii.detect(docs, most)).collect()}
+        assert got[300] == "term:15:23" and got[0].count("term") == 3
+    copies = spark.createDataFrame([(i, texts[0]) for i in range(8)] + [*enumerate(texts[8:300], 8)], "doc_id bigint, text string")
+    assert pii.detect(copies).where("size(terms) > 0").count() == 0
+
+
 def plain_targets(size, weights=(5, 2, 1)):
     names = sorted([x for x in size if x is not None]) + [x for x in size if x is None]
     w = {n: weights[i % 3] for i, n in enumerate(names)}

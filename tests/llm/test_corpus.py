@@ -127,6 +127,13 @@ def test_disclosing_terms_anywhere(spark):
     assert pii.detect(copies).where("size(terms) > 0").count() == 0
 
 
+def test_document_frequencies_of_forms(spark):
+    """A document counts once for a term in whatever forms, and blanks that separate no tokens stay in their term."""
+    texts = ["Smith smith, (smith.) at work", "smith", None, "uno\u00a0dos uno\u00a0dos;"]
+    got = {r["term"]: r["df"] for r in pii.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == {pii.hash64("smith"): 2, pii.hash64("work"): 1, pii.hash64("uno\u00a0dos"): 1}
+
+
 def plain_targets(size, weights=(5, 2, 1)):
     names = sorted([x for x in size if x is not None]) + [x for x in size if x is None]
     w = {n: weights[i % 3] for i, n in enumerate(names)}

@@ -123,12 +123,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
     spark = vectors.sparkSession
     rows = written(valid(vectors), "ann-rows")
     ranked = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
-    firsts = rows.select("h1", "h2", "vec_id").withColumn("place", ranked).where(F.col("place") <= k + 1)
-    classes = written(firsts.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_set("vec_id")).alias("ids")), "ann-classes")
-    reps = rows.join(classes.select("h1", "h2", F.col("rep").alias("vec_id")), ["h1", "h2", "vec_id"]).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("rep"), "embedding")
+    firsts = rows.select("h1", "h2", "vec_id").distinct().withColumn("place", ranked).where(F.col("place") <= k + 1)
+    classes = firsts.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
+    # A class has a number of its own, as an id may stand in several; numbers follow the smallest ids, so ties do too.
+    classes = written(classes.orderBy("first", "h1", "h2").withColumn("rep", F.monotonically_increasing_id()), "ann-classes")
+    reps = rows.join(classes.select("h1", "h2", F.col("first").alias("vec_id"), "rep"), ["h1", "h2", "vec_id"]).dropDuplicates(["rep"]).select("rep", "embedding")
     reps = written(reps, "ann-reps")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "h1", "h2")
-    asked = written(asked.join(classes.drop("ids"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "rep").distinct(), "ann-asked")
+    asked = written(asked.join(classes.drop("ids", "first"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "rep").distinct(), "ann-asked")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     n, longest, dim = reps.agg(F.count("*"), F.max(norm), F.max(F.size("embedding"))).first()
     if not n:

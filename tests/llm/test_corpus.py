@@ -469,6 +469,18 @@ def test_neighbours_of_few(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Repeated rows take no place in their class, and an id may be the smallest of two classes."""
+    v, u, w = [1.0, 0.0], [0.0, 1.0], [0.6, 0.8]
+    rows = [(1, v)] * 25 + [(i, v) for i in range(2, 31)] + [(1, u), (40, u), (41, w)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = collections.defaultdict(list)
+    for x in neighbours.search(df).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], round(x["score"], 4)))
+    assert got[20] == [(i, 1.0) for i in [*range(1, 20), 21]]
+    assert got[40][:2] == [(1, 1.0), (41, 0.8)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +56,59 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1500")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str, *done: DataFrame | None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors cost nothing.
+
+    ``done``: tables written before that nothing reads any more; they are removed.
+    """
     small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    remove(*done)
+    return out
+
+
+def remove(*done: DataFrame | None) -> None:
+    """Remove written tables that nothing reads any more."""
+    for d in done:
+        if d is not None and (path := getattr(d, "written_at", None)):
+            drop_path(d.sparkSession, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` made different from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def save(path: str, *arrays: np.ndarray) -> None:
+    """Write arrays one after the other; a repeated task writes the same bytes under a name of its own."""
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    with system.open_output_stream(place) as out:
+        for a in arrays:
+            out.write(np.ascontiguousarray(a).tobytes())
+
+
+def mapped(path: str) -> np.ndarray:
+    """The file's bytes, mapped into memory; from a store that can't be mapped, a copy that vanishes when it is let go."""
+    system, place = fs.FileSystem.from_uri(path)
+    if isinstance(system, fs.LocalFileSystem):
+        return np.memmap(place, np.uint8, "r") if os.path.getsize(place) else np.zeros(0, np.uint8)
+    with tempfile.NamedTemporaryFile() as copy:
+        with system.open_input_stream(place) as read:
+            while block := read.read(1 << 24):
+                copy.write(block)
+        copy.flush()
+        return np.memmap(copy.name, np.uint8, "r") if copy.tell() else np.zeros(0, np.uint8)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

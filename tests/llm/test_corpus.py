@@ -452,9 +452,10 @@ def test_neighbours(spark):
     bad = [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame([(i, x, "q") for i, x in v + bad], "vec_id bigint, embedding array<float>, label string")
     got = collections.defaultdict(list)
-    for x in neighbours.search(df, block=200).orderBy("query_id", "rank").collect():
+    for x in neighbours.search(df, rows=2000).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append(x["vec_id"])
-        assert x["rank"] == len(got[x["query_id"]])
+        assert x["rank"] == len(got[x["query_id"]]) and x["recall"] >= 0.9
+        assert 2 * x["window"] * x["curves"] < 2700  # of the 3000 vectors, with repeats
     want = plain_search(v)
     assert set(got) == set(want) and all(len(got[q]) == 20 and q not in got[q] for q in want)
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
@@ -462,6 +463,37 @@ def test_neighbours(spark):
     assert all(got[q] == want[q] for q in tie)
 
 
+def test_windows_hold_all_that_may_be_best():
+    """One curve cut at borders gives all that brute force finds best in each whole window."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    n, dim, w, k = 700, 9, 40, 5
+    v, rep = r.normal(size=(n, dim)) * r.uniform(0.1, 3, (n, 1)), r.permutation(n)
+    at = np.sort(r.integers(0, n + 1, 60))  # items before each query
+    q = r.normal(size=(60, dim))
+    rows = [(2 * i + 1, 1, int(rep[i]), neighbours.Codes.of(v[i : i + 1])[0].as_py()) for i in range(n)]
+    rows = sorted(rows + [(2 * int(a), 0, 1000 + j, q[j].tobytes()) for j, a in enumerate(at)])
+    for cuts in ([0, len(rows)], [0, 130, 400, 520, len(rows)]):
+        out = []
+        for part, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            run = neighbours.Run(0, part, w, k)
+            for i in range(x, y, 70):
+                _, kind, ids, raw = zip(*rows[i : min(y, i + 70)])
+                out += run.add(np.array(kind), np.array(ids), list(raw))
+            out += run.close()
+        border = pa.Table.from_batches([b for b in out if b.column("border").null_count == 0])
+        out += neighbours.across(w, k)(border.sort_by([("curve", "ascending"), ("border", "ascending")]).combine_chunks().to_batches())
+        got = collections.defaultdict(set)
+        for b in out:
+            for a, c in zip(b.column("q").to_pylist(), b.column("rep").to_pylist()):
+                got[a].add(c)
+        for j, a in enumerate(at):
+            window = np.arange(max(0, a - w), min(n, a + w))
+            best = {int(rep[i]) for i in window[np.argsort(-(v[window] @ q[j]))[:k]]}
+            assert best <= got[1000 + j] <= {int(rep[i]) for i in window}
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(df).orderBy("query_id", "rank").collect()]

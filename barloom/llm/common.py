@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six white-space bytes that separate words; every other byte belongs to a word.
@@ -89,6 +89,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows numbered from 0 in the given order: each sorted partition counts its own, and the counts add up."""
+    own = written(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(name, 33)
+    sums = own.groupBy(part.alias("numbered_part")).agg(F.count("*").alias("numbered_n"))  # a row for each partition
+    before = F.coalesce(F.sum("numbered_n").over(Window.orderBy("numbered_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("numbered_part", before.alias("numbered_n"))
+    out = own.join(F.broadcast(sums), part == F.col("numbered_part"))
+    return out.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("numbered_n")).drop("numbered_part", "numbered_n")
+
+
 def save(path: str, *arrays: np.ndarray) -> None:
     """Write arrays one after the other; a repeated task writes the same bytes under a name of its own."""
     system, place = fs.FileSystem.from_uri(path)

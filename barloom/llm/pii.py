@@ -6,9 +6,13 @@ discloses c if PMI(c; t) >= alpha * IC(c), and if at least ``support`` different
 copies of one document are no evidence. Disclosing terms become spans of kind ``term`` wherever they stand, in
 documents without the entity too, and are removed from the text; entities are generalised to the name of their kind.
 
+A word is a run of other characters than the six ASCII blanks, everywhere; its term is that run in lower case without marks at its ends, of three
+characters or more. Terms are told apart by 64-bit hashes.
+
 Defined results: a null text counts as empty and has no spans; positions are code points, ends exclusive; repeated rows
-give repeated results; a null id is kept; columns other than doc_id and text are ignored; an empty
-table gives an empty result.
+give repeated results, and each counts as a document of its own, but as no text of its own; spans that begin at one place stand in order of their kinds, and
+a term that touches an entity is none; a null id is kept; very long texts are read whole; an empty table gives an empty result; columns other than doc_id and text are
+ignored by ``detect`` and kept as they are by ``sanitise``, whatever their names, but for n_chars, which follows the text.
 """
 
 from __future__ import annotations
@@ -24,17 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, table, text_bytes, written
+from .common import fresh, map_batches, small_batches, table, text_bytes, written
 from .secrets import joined, redact, sha
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: The local part of an address is found backwards from its @, so long runs without one cost nothing.
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){13,}+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
+#: The local part of an address is found backwards from its @, so long runs without one cost nothing.
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 ALPHA, SUPPORT = 0.9, 3
 #: Up to so many disclosing terms go to every task whole; more are joined to the documents that hold them.
@@ -125,10 +128,6 @@ def term_places(t: str, spans: list[tuple[str, int, int]], hashes: TermHash, own
     return [m.span() for m in free_tokens(t, spans) if m.group() in wanted] if wanted else []
 
 
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
-
-
 def find(docs: DataFrame) -> DataFrame:
     """text (hash), entities and terms, each once, of documents that hold entities."""
 
@@ -187,36 +186,45 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     n = F.lit(float(max(1, docs.count())))
     ic = F.log2(n / F.col("entity_df"))
     pmi = F.log2(n * F.col("both") / (F.col("df") * F.col("entity_df")))
-    return pairs.join(terms, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    return written(pairs.join(terms, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term"), "pii-disclosing", found, each, pairs)
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of id and text, so that rows with equal ones are equal."""
+    i, t = docs["doc_id"].cast("long"), docs["text"]
+    return [F.xxhash64(i, t), F.xxhash64(t, F.lit(1), i)]
 
 
 def held_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """_key, _terms: the terms, out of ``terms``, that a document holds."""
+    """k1, k2, own: the terms, out of ``terms``, that a document holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TermHash()
         for b in batches:
-            for key, t in zip(b.column("_key").to_pylist(), text_bytes(b.column("text"))):
+            for k1, k2, t in zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), text_bytes(b.column("text"))):
                 own = list(hashes.of(t))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array(own, pa.int64())], ["_key", "term"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([k1] * len(own), [k2] * len(own), own)], ["k1", "k2", "term"])
 
-    held = docs.select("text", row_key(docs).alias("_key")).mapInArrow(run, "_key bigint, term bigint")
-    return held.join(terms, "term", "left_semi").groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+    held = docs.select(docs["text"], *[k.alias(n) for k, n in zip(row_keys(docs), ("k1", "k2"))]).mapInArrow(run, "k1 bigint, k2 bigint, term bigint")
+    return held.join(terms, "term", "left_semi").groupBy("k1", "k2").agg(F.collect_set("term").alias("own"))
 
 
-def with_terms(docs: DataFrame, most: int = BROADCAST_TERMS) -> tuple[DataFrame, array | None]:
-    """``docs`` with ``_terms``, and all disclosing terms, sorted; more than ``most`` are None, and each document has its own in ``_terms``."""
-    terms = written(disclosing(docs).select("term").distinct(), "pii-terms")
+def with_terms(docs: DataFrame, most: int = BROADCAST_TERMS) -> tuple[DataFrame, str, array | None]:
+    """``docs`` with a new column, its name, and all disclosing terms, sorted; more than ``most`` are None, and each document has its own in that column."""
+    name, k1, k2, l1, l2 = fresh(docs, "own_terms", "k1", "k2", "l1", "l2")
+    found = disclosing(docs)
+    terms = written(found.select("term").distinct(), "pii-terms", found)
     if terms.count() <= most:
-        return docs.withColumn("_terms", F.lit(None).cast("array<bigint>")), array("q", np.sort(terms.toArrow().column("term").to_numpy()).tolist())
-    own = written(held_terms(docs, terms), "pii-own")
-    return docs.withColumn("_key", row_key(docs)).join(own, "_key", "left").drop("_key"), None
+        return docs.withColumn(name, F.lit(None).cast("array<bigint>")), name, array("q", np.sort(terms.toArrow().column("term").to_numpy()).tolist())
+    own = written(held_terms(docs, terms).select(F.col("k1").alias(l1), F.col("k2").alias(l2), F.col("own").alias(name)), "pii-own", terms)
+    keyed = docs.withColumns(dict(zip((k1, k2), row_keys(docs))))
+    return keyed.join(own, (F.col(k1) == F.col(l1)) & (F.col(k2) == F.col(l2)), "left").drop(k1, k2, l1, l2), name, None
 
 
-def places(b: pa.RecordBatch, hashes: TermHash) -> Iterator[tuple[list, list]]:
+def places(b: pa.RecordBatch, hashes: TermHash, name: str) -> Iterator[tuple[list, list]]:
     """Base spans and places of terms of every row."""
     whole = hashes.only is not None
-    for t, own in zip(b.column("text").to_pylist(), b.column("_terms").to_pylist()):
+    for t, own in zip(b.column("text").to_pylist(), b.column(name).to_pylist()):
         spans = base_spans(t or "")
         none = not len(hashes.only) if whole else not own
         yield spans, [] if none or not t else term_places(t, spans, hashes, None if whole else set(own))
@@ -224,19 +232,19 @@ def places(b: pa.RecordBatch, hashes: TermHash) -> Iterator[tuple[list, list]]:
 
 def detect(docs: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """doc_id, base and terms of every document."""
-    keyed, known = with_terms(docs, most)
+    keyed, name, known = with_terms(docs.select("doc_id", "text"), most)
     span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
     hashes = TermHash(known)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         bases, terms = [], []
-        for spans, at in places(b, hashes):
+        for spans, at in places(b, hashes, name):
             bases.append([{"kind": k, "a": x, "b": y} for k, x, y in spans])
             terms.append([{"a": x, "b": y} for x, y in at])
         base = pa.array(bases, pa.list_(pa.struct([("kind", pa.string()), *span])))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), base, pa.array(terms, pa.list_(span))], ["doc_id", "base", "terms"])
 
-    rows = keyed.select(keyed["doc_id"].cast("long").alias("doc_id"), "text", "_terms")
+    rows = keyed.select(keyed["doc_id"].cast("long").alias("doc_id"), "text", name)
     return map_batches(rows, batch, "doc_id bigint, base array<struct<kind:string,a:int,b:int>>, terms array<struct<a:int,b:int>>")
 
 
@@ -262,20 +270,20 @@ def report(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """``docs`` with the same columns: n_chars follows the text. In ``text``, entities give way to the name of their kind and disclosing terms to [TERM]."""
-    keyed, known = with_terms(docs, most)
+    keyed, name, known = with_terms(docs, most)
     rest = docs.columns
     hashes = TermHash(known)
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for t, (base, terms) in zip(b.column("text").to_pylist(), places(b, hashes)):
+        for t, (base, terms) in zip(b.column("text").to_pylist(), places(b, hashes, name)):
             spans = base + [("term", x, y) for x, y in terms]
             texts.append(redact(t, spans) if spans else t)
         new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
         cols = [pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in rest]
         return pa.RecordBatch.from_arrays(cols, rest)
 
-    return map_batches(keyed.select(*rest, "_terms"), batch, docs.schema)
+    return map_batches(keyed.select(*[F.col(f"`{c}`") for c in [*rest, name]]), batch, docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ strings; each keeps counts per character class and updates Shannon entropy from
 leaves and the one that enters. Windows over the threshold of their class merge into spans, unless an
 allow-list knows the string.
 
-Defined results: a null text counts as empty and has no spans; positions are code points, ends exclusive;
-repeated rows give repeated results; columns other than doc_id and text are ignored.
+Defined results: a null text counts as empty and has no spans; positions are code points, ends exclusive; spans that begin at one place stand in
+order of their kinds; a null id is kept; repeated rows give repeated results; an empty table gives an empty result; very long texts and tokens are read whole, one window at
+a time; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,30 +38,51 @@ ALLOWED = (
 )
 
 
-def window_entropies(s: str, w: int) -> list[float]:
-    """Shannon entropy in bits of every window of ``w`` characters, by incremental counts.
+def windows(s: str, w: int) -> Iterator[tuple[float, bool]]:
+    """Shannon entropy in bits of every window of ``w`` characters, and whether it looks random, by incremental counts.
 
-    With c the counts of a window, its entropy is log2(w) - sum(c log2 c) / w; a step changes two terms.
+    With c the counts of a window, its entropy is log2(w) - sum(c log2 c) / w; a step changes two terms. A secret mixes at
+    least three digits with letters; words and paths don't. Only the counts of one window are held, however long the string is.
     """
     term = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]
     counts: dict[str, int] = {}
-    total, out = 0.0, []
+    total, digits, letters, top = 0.0, 0, 0, math.log2(w)
     for i, ch in enumerate(s):
         c = counts.get(ch, 0)
         total += term[c + 1] - term[c]
         counts[ch] = c + 1
+        digits += ch.isdigit()
+        letters += ch.isalpha()
         if i >= w:
             old = s[i - w]
             c = counts[old]
             total += term[c - 1] - term[c]
             counts[old] = c - 1
+            digits -= old.isdigit()
+            letters -= old.isalpha()
         if i >= w - 1:
-            out.append(math.log2(w) - total / w)
-    return out
+            yield top - total / w, digits >= 3 and letters > 0
+
+
+def window_entropies(s: str, w: int) -> Iterator[float]:
+    return (e for e, _ in windows(s, w))
+
+
+def random_runs(s: str, w: int, least: float) -> Iterator[tuple[int, int]]:
+    """Runs of windows of at least so much entropy that look random; windows that touch are one run."""
+    a, b = 0, -1
+    for i, (e, mixed) in enumerate(windows(s, w)):
+        if e >= least and mixed:
+            if i > b:
+                if b >= 0:
+                    yield a, b
+                a = i
+            b = i + w
+    if b >= 0:
+        yield a, b
 
 
 def looks_random(s: str) -> bool:
-    """A secret of the wide class mixes digits with letters; words and paths don't."""
     return sum(map(str.isdigit, s)) >= 3 and any(map(str.isalpha, s))
 
 
@@ -72,11 +95,9 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         hit: list[tuple[int, int]] = []
         for _, chars, w, least in CLASSES:
             for part in chars.finditer(s):
-                if part.end() - part.start() < w:
-                    continue
-                for i, e in enumerate(window_entropies(part.group(), w)):
-                    if e >= least and looks_random(s[part.start() + i : part.start() + i + w]):
-                        hit.append((m.start() + part.start() + i, m.start() + part.start() + i + w))
+                if part.end() - part.start() >= w:
+                    at = m.start() + part.start()
+                    hit += [(at + a, at + b) for a, b in random_runs(part.group(), w, least)]
         for a, b in sorted(hit):
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))

@@ -4,29 +4,30 @@ The network is trained in numpy by backpropagation through time on a bounded sam
 bytes in both directions, labels every position, and a document's probabilities are the mean over its positions.
 Every byte of every text is read.
 
-Training sample (documented bound): of the ``LANGUAGES`` most frequent labels, at most ``BUCKETS`` documents each, of which a
-stretch of ``STRETCH`` characters at a place given by a hash.
+Training sample (documented bound): of every label, the documents with the smallest hashes of ``BUCKETS`` buckets (of fewer, down to 8, where there are so many labels that
+this would be more than ``SAMPLE`` documents), of which a stretch of ``STRETCH`` characters at a place given by a hash.
 
 Defined results: a text that is null or holds no letter is ``und`` with score 0; a null label is never learned from;
-without any labelled document every text is ``und``; repeated rows give repeated results; columns other than those named are ignored.
+without any labelled document every text is ``und``; a null id counts as an empty one for the choice of held-out rows; labelled rows that share an id and a label give one sample; ties
+between labels go to the first in code-point order; repeated rows give repeated results; very long texts are read whole, in slices; an empty table gives an empty result; columns other
+than those named are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_column, map_batches, table, text_bytes
 
-LANGUAGES, BUCKETS, STRETCH = 64, 192, 2000
+BUCKETS, SAMPLE, STRETCH = 192, 12_288, 2000
 HIDDEN, SLICE, BATCH, STEPS, RATE = 10, 48, 192, 160, 0.03
 #: Bytes in a slice when documents are labelled, and slices that are worked on together.
 READ, TOGETHER = 128, 1024
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -166,16 +167,14 @@ class ByteTagger:
 
 def training_sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """Texts and labels of a bounded sample of labelled documents."""
-    named = docs.where("lang is not null and text is not null")
-    langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     h = F.xxhash64("doc_id", F.lit(11))
-    picked = named.where(F.col("lang").isin(langs)).groupBy("lang", F.pmod(h, F.lit(BUCKETS)).alias("bucket")).agg(F.min(h).alias("h")).select("h").collect()
-    if not picked:
-        return [], []
+    named = docs.where("lang is not null and text is not null").select("lang", "text", h.alias("h"))
+    labels = named.select("lang").distinct().count()
+    buckets = max(8, min(BUCKETS, SAMPLE // max(1, labels)))
+    picked = named.groupBy("lang", F.pmod("h", F.lit(buckets)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h")
     size = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
-    part = F.substring("text", F.pmod(h, size).cast("int") + 1, F.lit(STRETCH))
-    rows = named.where(F.col("lang").isin(langs) & h.isin([r["h"] for r in picked])).select("lang", part.alias("text"), h.alias("h"))
-    rows = rows.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
+    part = F.substring("text", F.pmod("h", size).cast("int") + 1, F.lit(STRETCH))
+    rows = named.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min(part).alias("text")).orderBy("lang", "h").collect()
     return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
 
 

@@ -15,7 +15,8 @@ equal registers sifts them, and the full sets confirm links.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; a null id is linked with
 nothing, its component is null and it is kept; rows that share an id are one document, with the text of the
-largest set; columns other than doc_id and text are ignored; an empty table gives an empty result.
+largest set; very long texts are read whole; of equal sets the smallest id stands for all; an empty table gives an empty result; columns other than doc_id and text are
+ignored, and kept as they are, whatever their names, by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_batches, mix64, shingle_hashes, table, text_bytes, written
+from .common import WordHash, fresh, map_batches, mix64, remove, shingle_hashes, table, text_bytes, written
 from .graph import components
 
 WORDS = 5
@@ -118,7 +119,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     own = docs.select(docs["doc_id"].cast("long").alias("id"), "text").join(few, "id", "left_semi")
     sets = written(map_batches(own, batch, "id bigint, set array<bigint>"), name)
     if sets.groupBy("id").count().where("count > 1").limit(1).count():  # rows that share an id give way to the largest set
-        sets = written(sets.groupBy("id").agg(F.max(F.struct(F.size("set"), "set"))["set"].alias("set")), name)
+        sets = written(sets.groupBy("id").agg(F.max(F.struct(F.size("set"), "set"))["set"].alias("set")), name, sets)
     return sets
 
 
@@ -184,8 +185,9 @@ MEMBER = "key bigint, bi int, bj int, id bigint, mine int, component bigint, n b
 
 def remaining_links(docs: DataFrame, members: DataFrame, found: DataFrame, sketch: DataFrame) -> DataFrame | None:
     """Links between different components within the buckets of ``members`` (key, id, pivot, size)."""
-    now = members.where("size > 2").join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    now = written(now, "near-members")
+    joined = components(found)
+    now = members.where("size > 2").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    now = written(now, "near-members", joined)
     parts = now.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("m"), F.count("*").alias("parts"))
     main = written(main.where("parts > 1").select("key", (-F.col("m.c")).alias("main"), F.col("m.n").alias("main_n")), "near-open")
@@ -207,6 +209,7 @@ def remaining_links(docs: DataFrame, members: DataFrame, found: DataFrame, sketc
     seen = written(dealt.mapInArrow(alike, MEMBER), "near-alike")
     ids = written(seen.select("id").distinct(), "near-ids")
     if not ids.limit(1).count():
+        remove(now, main, seen, ids)
         return None
     sets = sets_of(docs, ids, "near-sets")
     again = seen.join(sets, "id").select(*cols, "set").repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "id")
@@ -234,7 +237,7 @@ def remaining_links(docs: DataFrame, members: DataFrame, found: DataFrame, sketc
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return written(again.mapInArrow(linked, "a bigint, b bigint"), "near-links")
+    return written(again.mapInArrow(linked, "a bigint, b bigint"), "near-links", now, main, seen, ids, sets)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -258,22 +261,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = written(similar(pairs.join(side("a"), "a").join(side("b"), "b")), "near-pairs")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-    links = written(confirm(pairs, sets_of(docs, ids, "near-sets")), "near-links")
+    sets = sets_of(docs, ids, "near-sets")
+    links = written(confirm(pairs, sets), "near-links", pairs, ids, sets)
     more = remaining_links(docs, members, links, sketch)
-    links = links if more is None else links.union(more)
-    found = components(links.union(copies.distinct()))
+    remove(members, buckets, sketch)
+    found = components((links if more is None else links.union(more)).union(copies.distinct()))
+    remove(links, more, copies, classes)
     out = all_docs.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-found", all_docs, found)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns, one document of each group of near duplicates; rows that repeat an id give way to one of them."""
-    found = written(near_duplicates(docs), "near-found")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone")), "near-repeated")
+    """``docs`` with the same columns, whatever their names, one document of each group of near duplicates; rows that repeat an id give way to one of them."""
+    found = near_duplicates(docs)
+    (name,) = fresh(docs, "gone")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name))
+    repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), "near-repeated")
     few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = F.col("doc_id").cast("long") == F.col("_gone")
+    own = F.col("doc_id").cast("long") == F.col(name)
     left = docs.join(few(gone), own, "left_anti")
     if not repeated.limit(1).count():
         return left
@@ -283,3 +289,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op10_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Sets of shingles as rows, pairs that share any, and who reaches whom.
+SQL = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * k >= 75 * (m.n + o.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id"""

@@ -18,13 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        near = edges.join(labels.select("id", "component").withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         near = near.withColumnRenamed("a", "id")
         step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        step = written(step, "labels")
+        step = written(step, "labels", labels)
         own = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = written(step.join(own, "component").select("id", "was", F.col("further").alias("component")), "labels")
-        changed = new.where("was <> component").limit(1).count()
-        labels = new.drop("was")
-        if not changed:
-            return labels
+        labels = written(step.join(own, "component").select("id", "was", F.col("further").alias("component")), "labels", step)
+        if not labels.where("was <> component").limit(1).count():
+            return written(labels.drop("was"), "components", labels, edges)

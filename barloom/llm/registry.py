@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import dedup, mixing, quality
 from .dedup import op10_dedup
 from .language import op7_language
 from .lm import op5_lm
@@ -25,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL, "op8_quality": quality.SQL, "op10_dedup": dedup.SQL}

@@ -1,20 +1,20 @@
 """Gates, feedback and grading of formulas found, and the curve that their returns make together.
 
-Tables: ``wins`` (fold, formula_hash, formula, return_pct, sharpe, win_rate, max_dd, profit_factor, n_long, n_short, coverage_pct)
-and ``folds`` (fold, sharpe, winner, regime, ...). One schema serves the search that writes and the grading that reads.
+Tables: ``wins`` (run, fold, formula_hash, formula, return_pct, sharpe, win_rate, max_dd, profit_factor, n_long, n_short, coverage_pct)
+and ``folds`` (run, fold, sharpe, winner, regime, ...). One schema serves the search that writes and the grading that reads. Runs are graded each by itself:
+what the later folds of a run say comes from windows over the run's folds, and is joined to the wins on run and fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import used_of
 
+#: Columns of both tables (fixed values).
 WINS = ["fold", "formula_hash", "return_pct", "sharpe", "win_rate", "max_dd", "profit_factor", "buy_threshold", "sell_threshold", "n_long", "n_short", "coverage_pct"]
 FOLDS = ["fold", "return_pct", "sharpe", "max_dd", "win_rate", "n_features", "prog_length", "coverage_pct", "winner", "regime"]
 
@@ -50,22 +50,22 @@ def unseen(candidates: DataFrame, winners: DataFrame) -> DataFrame:
     return candidates.join(winners.select("formula_hash").distinct(), "formula_hash", "left_anti")
 
 
-def loss_feedback(failed: DataFrame, winners: DataFrame, known: list[str]) -> DataFrame:
-    """feature, losses: features of failed formulas that no winner holds."""
-    lost = failed.select(F.explode(used_of("formula", known)).alias("feature"))
-    held = winners.select(F.explode(used_of("formula", known)).alias("feature")).distinct()
-    return lost.join(held, "feature", "left_anti").groupBy("feature").agg(F.count("*").alias("losses"))
+def loss_feedback(failed: DataFrame, winners: DataFrame, known: list[str], key: str = "run") -> DataFrame:
+    """run, feature, losses: features of failed formulas that no winner of the run holds."""
+    lost = failed.select(key, F.explode(used_of("formula", known)).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("losses"))
+    held = winners.select(key, F.explode(used_of("formula", known)).alias("feature")).distinct()
+    return lost.join(held, [key, "feature"], "left_anti")
 
 
-def feature_prior(winners: DataFrame, losses: DataFrame, known: list[str], alpha: float = 5.0, decay: float = 0.4, penalty: float = 0.5, most: float = 1.8) -> DataFrame:
-    """feature, prob: smoothed wins less losses, capped at a multiple of the even share."""
-    spark = winners.sparkSession
-    wins = winners.select(F.explode(used_of("formula", known)).alias("feature")).groupBy("feature").agg(F.count("*").alias("wins"))
-    out = spark.createDataFrame([(x,) for x in known], "feature string").join(wins, "feature", "left").join(losses, "feature", "left")
+def feature_prior(winners: DataFrame, losses: DataFrame, known: list[str], runs: DataFrame, alpha: float = 5.0, decay: float = 0.4, penalty: float = 0.5, most: float = 1.8, key: str = "run") -> DataFrame:
+    """run, feature, prob for each of ``runs`` (run): smoothed wins less losses, capped at a multiple of the even share."""
+    wins = winners.select(key, F.explode(used_of("formula", known)).alias("feature")).groupBy(key, "feature").agg(F.count("*").alias("wins"))
+    names = runs.select(key, F.explode(F.array(*[F.lit(x) for x in known])).alias("feature"))
+    out = names.join(wins, [key, "feature"], "left").join(losses, [key, "feature"], "left")
     net = F.greatest(F.coalesce("wins", F.lit(0)) - penalty * F.coalesce("losses", F.lit(0)), F.lit(0.0)) * decay + alpha
-    whole = Window.partitionBy(F.lit(1))  # one row per feature name
+    whole = Window.partitionBy(key)
     out = out.withColumn("p", net / F.sum(net).over(whole)).withColumn("p", F.least("p", F.lit(most / len(known))))
-    return out.select("feature", (F.col("p") / F.sum("p").over(whole)).alias("prob"))
+    return out.select(key, "feature", (F.col("p") / F.sum("p").over(whole)).alias("prob"))
 
 
 def trim(board: DataFrame, most: int = 100) -> DataFrame:
@@ -83,66 +83,92 @@ def seed_pool(winners: DataFrame, elite: DataFrame, size: int = 200, share: floa
 # Grading.
 
 
-def forward_walk(wins: DataFrame, folds: DataFrame) -> DataFrame:
-    """formula_hash, fold and what the folds after it say: number, survival, mean and deviation of the ratio, winners, slope."""
-    later = wins.select("formula_hash", "fold").join(folds.select(F.col("fold").alias("_f"), F.col("sharpe").alias("_s"), F.col("winner").alias("_w")), F.col("_f") > F.col("fold"), "left")
-    i = F.row_number().over(Window.partitionBy("formula_hash", "fold").orderBy("_f"))
-    out = later.withColumn("_i", i.cast("double")).groupBy("formula_hash", "fold").agg(
-        F.count("_f").alias("fw_n_folds"), F.count_if(F.col("_s") > 0).alias("_pos"), F.avg("_s").alias("_m"), F.stddev_samp("_s").alias("_sd"), F.stddev_pop("_s").alias("_sp"), F.count_if(F.col("_w")).alias("_win"), F.regr_slope("_s", "_i").alias("_k")
-    )
-    enough = F.col("fw_n_folds") >= LEAST_FOLDS
-    slope = F.when((F.col("fw_n_folds") >= 3) & (F.col("_sp") > 1e-8), F.col("_k")).otherwise(0.0)
+def forward_walk(wins: DataFrame, folds: DataFrame, key: str = "run") -> DataFrame:
+    """run, formula_hash, fold and what the run's later folds say: number, survival, mean and deviation of the ratio, winners, slope.
+
+    One growing window over the run's folds, the last first; a winner's own fold needs no row among them.
+    """
+    own = wins.select(key, "fold").distinct().select(key, "fold", F.lit(None).cast("double").alias("_s"), F.lit(None).cast("boolean").alias("_w"), F.lit(False).alias("_is"))
+    rows = folds.select(key, "fold", F.col("sharpe").alias("_s"), F.col("winner").alias("_w"), F.lit(True).alias("_is")).union(own)
+    back = Window.partitionBy(key).orderBy(F.desc("fold"))
+    later = back.rangeBetween(Window.unboundedPreceding, -1)
+    # The slope on the folds' places among the later ones equals that on their places from the end, with its sign turned.
+    rows = rows.withColumn("_i", F.when(F.col("_is"), -F.sum(F.col("_is").cast("int")).over(back.rangeBetween(Window.unboundedPreceding, 0)).cast("double")))
+    seen = {
+        "_n": F.count(F.when(F.col("_is"), 1)), "_pos": F.count_if(F.col("_s") > 0), "_m": F.avg("_s"), "_sd": F.stddev_samp("_s"), "_sp": F.stddev_pop("_s"),
+        "_win": F.count_if(F.col("_w")), "_k": F.regr_slope("_s", "_i"),
+    }
+    rows = rows.select(key, "fold", "_is", *[x.over(later).alias(n) for n, x in seen.items()])
+    out = wins.select(key, "formula_hash", "fold").join(rows.where("not _is").drop("_is"), [key, "fold"])
+    enough = F.col("_n") >= LEAST_FOLDS
+    slope = F.when((F.col("_n") >= 3) & (F.col("_sp") > 1e-8), F.col("_k")).otherwise(0.0)
     when = lambda c: F.when(enough, c)
     return out.select(
-        "formula_hash", "fold", "fw_n_folds", when(F.col("_pos") / F.col("fw_n_folds")).alias("fw_survival_rate"), when(F.col("_m")).alias("fw_mean_sharpe"), when(F.col("_sd")).alias("fw_std_sharpe"),
+        key, "formula_hash", "fold", F.col("_n").alias("fw_n_folds"), when(F.col("_pos") / F.col("_n")).alias("fw_survival_rate"), when(F.col("_m")).alias("fw_mean_sharpe"), when(F.col("_sd")).alias("fw_std_sharpe"),
         F.when(enough, F.col("_pos")).otherwise(0).alias("fw_positive_folds"), F.when(enough, F.col("_win")).otherwise(0).alias("fw_winner_folds"), when(slope).alias("fw_sharpe_decay"), enough.alias("fw_data_sufficient"),
     )
 
 
-def freshness(wins: DataFrame, known: list[str], recent: int = RECENT) -> DataFrame:
-    """formula_hash, fold, feature_freshness: share of a formula's features in the last later winners; 0 without features or where those have none, NULL without later winners."""
-    own = wins.select("formula_hash", "fold", used_of("formula", known).alias("features"))
-    later = own.select("formula_hash", "fold").join(own.select(F.col("formula_hash").alias("_h"), F.col("fold").alias("_f"), F.col("features").alias("_x")), F.col("_f") > F.col("fold"))
-    place = F.row_number().over(Window.partitionBy("formula_hash", "fold").orderBy(F.desc("_f"), F.desc("_h")))
-    seen = later.withColumn("_p", place).where(F.col("_p") <= recent).groupBy("formula_hash", "fold").agg(F.array_distinct(F.flatten(F.collect_list("_x"))).alias("_seen"))
-    out = own.join(seen, ["formula_hash", "fold"], "left")
-    share = F.when(F.size("features") == 0, 0.0).when(F.col("_seen").isNull(), None).otherwise(F.size(F.array_intersect("features", "_seen")) / F.greatest(F.size("features"), F.lit(1)))
-    return out.select("formula_hash", "fold", "features", share.alias("feature_freshness"))
+def freshness(wins: DataFrame, known: list[str], recent: int = RECENT, key: str = "run") -> DataFrame:
+    """run, formula_hash, fold, feature_freshness: share of a formula's features in the last later winners of its run; 0 without features or where those have none, NULL without later winners.
 
+    The last later winners are, of the run's last ``recent``, those after the formula's fold.
+    """
+    own = wins.select(key, "formula_hash", "fold", used_of("formula", known).alias("features"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("fold"), F.desc("formula_hash")))
+    last = own.withColumn("_p", place).where(F.col("_p") <= recent).groupBy(key).agg(F.collect_list(F.struct("fold", "features")).alias("_last"))
+    later = F.filter("_last", lambda x: x["fold"] > F.col("fold"))
+    out = own.join(last, key).withColumn("_later", later)
+    seen = F.flatten(F.transform("_later", lambda x: x["features"]))
+    share = F.when(F.size("features") == 0, 0.0).when(F.size("_later") == 0, None).otherwise(F.size(F.array_intersect("features", seen)) / F.greatest(F.size("features"), F.lit(1)))
+    return out.select(key, "formula_hash", "fold", "features", share.alias("feature_freshness"))
 
-def regime_coverage(wins: DataFrame, folds: DataFrame) -> DataFrame:
-    """formula_hash, fold, discovery_regime, n_regimes, regimes: of its own fold and of later winners' folds."""
-    own = wins.select("formula_hash", "fold").join(folds.select("fold", F.col("regime").alias("discovery_regime")), "fold", "left").withColumn("discovery_regime", F.coalesce("discovery_regime", F.lit("unknown")))
-    later = folds.where("winner and regime is not null").select(F.col("fold").alias("_f"), F.col("regime").alias("_r"))
-    out = own.join(later, F.col("_f") > F.col("fold"), "left").groupBy("formula_hash", "fold", "discovery_regime").agg(F.array_compact(F.collect_set("_r")).alias("_later"))
-    names = F.array_sort(F.array_distinct(F.concat(F.array("discovery_regime"), "_later")))
-    return out.select("formula_hash", "fold", "discovery_regime", F.size(names).alias("n_regimes"), F.array_join(names, "|").alias("regimes"))
 
+def regime_coverage(wins: DataFrame, folds: DataFrame, key: str = "run") -> DataFrame:
+    """run, formula_hash, fold, discovery_regime, n_regimes, regimes: of its own fold and of the run's later winning folds; each regime's last winning fold tells."""
+    own = wins.select(key, "formula_hash", "fold").join(folds.select(key, "fold", F.col("regime").alias("discovery_regime")), [key, "fold"], "left").withColumn("discovery_regime", F.coalesce("discovery_regime", F.lit("unknown")))
+    last = folds.where("winner and regime is not null").groupBy(key, F.col("regime").alias("_r")).agg(F.max("fold").alias("_f"))
+    last = last.groupBy(key).agg(F.collect_list(F.struct("_r", "_f")).alias("_last"))
+    later = F.transform(F.filter(F.coalesce("_last", F.array()), lambda x: x["_f"] > F.col("fold")), lambda x: x["_r"])
+    names = F.array_sort(F.array_distinct(F.concat(F.array("discovery_regime"), later)))
+    out = own.join(last, key, "left").withColumn("_names", names)
+    return out.select(key, "formula_hash", "fold", "discovery_regime", F.size("_names").alias("n_regimes"), F.array_join("_names", "|").alias("regimes"))
 
-def null_ratios(n_trades: int, draws: int, seed: int) -> np.ndarray:
-    """Sharpe ratios of strategies without an edge."""
-    x = np.random.default_rng(seed).standard_normal((draws, n_trades))
-    sd = x.std(axis=1)
-    return np.where(sd < 1e-8, 0.0, x.mean(axis=1) / np.maximum(sd, 1e-8) * np.sqrt(n_trades))
 
+def uniform(seed: int, *parts: Column) -> Column:
+    """Between 0 and 1 from an MD5, so SQL knows the same numbers."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def null_ratios(spark: SparkSession, trades: int, draws: int, seed: int) -> DataFrame:
+    """n_trades, ratios: sorted Sharpe ratios of ``draws`` strategies without an edge, after each number of trades up to ``trades``."""
+    d = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(trades))).alias("i"))
+    x = F.sqrt(-2 * F.ln(uniform(seed, F.col("draw"), F.col("i"), F.lit("r")))) * F.cos(2 * math.pi * uniform(seed, F.col("draw"), F.col("i"), F.lit("a")))
+    so_far = Window.partitionBy("draw").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("x", x).select("i", F.avg("x").over(so_far).alias("m"), F.stddev_pop("x").over(so_far).alias("sd"))
+    ratio = F.when(F.col("sd") < 1e-8, 0.0).otherwise(F.col("m") / F.greatest("sd", F.lit(1e-8)) * F.sqrt("i"))
+    return d.groupBy(F.col("i").alias("n_trades")).agg(F.sort_array(F.collect_list(ratio)).alias("ratios"))
 
-def significance(df: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """``p_value``: share of ``draws`` strategies without an edge and with as many trades that do as well; 1 below 10 trades."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            p = []
-            for n, s in zip(pdf["n_trades"], pdf["sharpe"]):
-                if n is None or n < 10:
-                    p.append(1.0)
-                    continue
-                if n not in known:
-                    known[n] = null_ratios(int(n), draws, seed)
-                p.append(float((known[n] >= s).mean()))
-            yield pdf.assign(p_value=p)
+#: Numbers in the table of draws up to which it is broadcast.
+BROADCAST_DRAWS = 4_000_000
+
+
+def significance(df: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """``p_value``: share of ``draws`` strategies without an edge and with as many trades that do as well; 1 below 10 trades.
 
-    return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", p_value double")
+    The draws are a table by number of trades, joined to the rows. ``n_trades`` must be a whole number.
+    """
+    top = df.agg(F.max("n_trades")).first()[0]
+    if top is None or top < 10:
+        return df.withColumn("p_value", F.lit(1.0))
+    (name, ratios) = (next(c for c in (n + "_" * k for k in range(9)) if c not in df.columns) for n in ("trades_drawn", "ratios"))
+    table = null_ratios(df.sparkSession, int(top), draws, seed).where("n_trades >= 10").select(F.col("n_trades").alias(name), F.col("ratios").alias(ratios))
+    table = F.broadcast(table) if int(top) * draws <= BROADCAST_DRAWS else table
+    out = df.join(table, df["n_trades"] == F.col(name), "left")
+    as_well = F.size(F.filter(ratios, lambda x: x >= F.col("sharpe"))) / float(draws)
+    return out.withColumn("p_value", F.when(F.col(name).isNull(), 1.0).otherwise(as_well)).drop(name, ratios)
 
 
 def kelly(win_rate: Column, profit_factor: Column, cap: Column, fraction: float = 0.25) -> Column:
@@ -192,24 +218,24 @@ def kill_switch(df: DataFrame) -> DataFrame:
     )
 
 
-def build_board(wins: DataFrame, folds: DataFrame, known: list[str], regime: str | None = None, draws: int = 2000) -> DataFrame:
-    """A graded, sized and ranked row per formula."""
-    keys = ["formula_hash", "fold"]
+def build_board(wins: DataFrame, folds: DataFrame, known: list[str], regime: str | None = None, draws: int = 2000, key: str = "run") -> DataFrame:
+    """A graded, sized and ranked row per formula; ranks count within a run."""
+    keys = [key, "formula_hash", "fold"]
     df = wins.withColumn("n_trades", (F.col("n_long") + F.col("n_short")).cast("int"))
-    df = significance(df, draws).join(forward_walk(wins, folds), keys).join(regime_coverage(wins, folds), keys).join(freshness(wins, known), keys)
+    df = significance(df, draws).join(forward_walk(wins, folds, key), keys).join(regime_coverage(wins, folds, key), keys).join(freshness(wins, known, key=key), keys)
     df = kill_switch(grade(df))
     match = F.col("discovery_regime").eqNullSafe(F.lit(regime)) if regime else F.lit(False)
     cap = F.when(F.col("grade") == "A", KELLY_CAPS["A"]).when(F.col("grade") == "B", KELLY_CAPS["B"]).otherwise(0.0)
     size = kelly(F.col("win_rate"), F.col("profit_factor"), cap)
     bonus = match & F.col("grade").isin("A", "B")
-    top = folds.agg(F.max("fold").alias("_top"))
-    df = df.join(F.broadcast(top)).withColumns({"current_regime_match": match, "position_size_frac": F.bround(F.when(bonus, F.least(size * 1.2, cap)).otherwise(size), 4), "regime_size_bonus": bonus})
+    df = df.join(folds.groupBy(key).agg(F.max("fold").alias("_top")), key, "left")
+    df = df.withColumns({"current_regime_match": match, "position_size_frac": F.bround(F.when(bonus, F.least(size * 1.2, cap)).otherwise(size), 4), "regime_size_bonus": bonus})
     recency = F.when(F.col("_top") > 0, F.col("fold") / F.col("_top")).otherwise(0.0)
     steady = 1 / (1 + F.coalesce("fw_std_sharpe", F.lit(1.0)))
     score = 0.35 * F.coalesce("fw_survival_rate", F.lit(0.0)) + 0.20 * F.col("n_regimes") / 5 + 0.15 * F.coalesce("feature_freshness", F.lit(0.5)) + 0.10 * steady + 0.10 * recency + 0.10 * (1 - F.col("p_value"))
     df = df.withColumns({"recency_score": F.bround(recency, 3), "composite_score": F.bround(score, 4), "significant_p05": F.col("p_value") < 0.05, "features_used": F.when(F.size("features") > 0, F.array_join("features", "|")).otherwise("unknown")})
     order = F.when(F.col("grade") == "A", 0).when(F.col("grade") == "B", 1).when(F.col("grade") == "C", 2).otherwise(3)
-    place = Window.orderBy(order, F.desc("composite_score"), "formula_hash")  # a row per formula on the board
+    place = Window.partitionBy(key).orderBy(order, F.desc("composite_score"), "formula_hash")
     return df.withColumn("rank", F.row_number().over(place)).drop("_top", "features")
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 
 def indexed(df: DataFrame, name: str = "_i", stretch: str = "30 days") -> DataFrame:
     """Rows numbered from 0 in order of time within their symbol, without a sort of the whole symbol in one task."""
@@ -22,6 +24,15 @@ def indexed(df: DataFrame, name: str = "_i", stretch: str = "30 days") -> DataFr
     return own.withColumn(name, place).join(before.drop("_k"), ["symbol", "_stretch"]).withColumn(name, F.col(name) + F.col("_before")).drop("_stretch", "_before")
 
 
+def placed(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Rows with their place (from 1) in a total order: partitions are sorted by ranges, each counts its own rows, and the counts of those before add up."""
+    own = cut(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    sums = own.groupBy("_part").agg(F.count("*").alias("_k"), F.min("_id").alias("_first"))  # a row for each partition
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = own.join(F.broadcast(sums.select("_part", "_first", before.alias("_before"))), "_part")
+    return out.withColumn(name, F.col("_id") - F.col("_first") + F.col("_before") + 1).drop("_part", "_id", "_first", "_before")
+
+
 def by_chunks(df: DataFrame, f: Callable[[DataFrame], DataFrame], lookback: int, ahead: int = 0, rows: int = 200_000, stretch: str = "30 days") -> DataFrame:
     """f(df) for an ``f`` whose frames, by symbol and time, reach at most ``lookback`` rows back and ``ahead`` rows on, and which keeps the columns it gets.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scan
-from ..functions.chunks import by_chunks, indexed
+from ..functions.chunks import by_chunks, indexed, placed
 from ..functions.series import bars_window, compounded, cumulative_log_return, diff, drawdown, lag, log_return, rank_in, rolling, rolling_mean, rolling_std, simple_return, true_range
 from ..operators import features as ft
 from ..operators import labels as lb
@@ -48,10 +48,10 @@ def rel_project(spark, sf):
     return li.withColumn("net", r(F.col("l_extendedprice") * (1 - F.col("l_discount")))).select("order_id", "line", "net")
 
 
-@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 500")
+@query("SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def rel_sort(spark, sf):
-    o = spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey").limit(500)
-    return o.select("o_orderkey", "o_orderstatus", F.row_number().over(Window.orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("place"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return placed(o, "place", F.col("o_orderstatus"), F.desc("o_totalprice"), F.col("o_orderkey")).drop("o_totalprice")
 
 
 @query(f"WITH {BARS}, h AS (SELECT symbol, ts, high FROM bars WHERE volume > 2) SELECT b.symbol, b.ts, b.close, h.high FROM bars b LEFT JOIN h USING (symbol, ts)")

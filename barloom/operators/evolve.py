@@ -1,4 +1,7 @@
-"""Evolution of formulas: the population is a small table of programs, scored in slices on the executors against a bounded matrix.
+"""Evolution of formulas: the population is a small list of programs, scored on the executors.
+
+``evolve`` scores against a matrix at hand, ``evolve_rows`` against all rows of a table of any size: each batch of rows gives every program's counts, means and
+squares, and these add up, so a generation is one pass over the rows and a few numbers per program.
 
 Programs are prefix tuples (see functions.formula). A generation bags its rows, scores every program, keeps an elite,
 and fills up by tournaments, subtree crossover and three mutations; offspring over the limits is retried.
@@ -60,21 +63,40 @@ def for_regime(s: Settings, regime: str) -> Settings:
     return replace(s, **BY_REGIME.get(regime, BY_REGIME["random_walk"]))
 
 
-def directional_score(y: np.ndarray, p: np.ndarray, pearson: float, direction: float) -> float:
-    """As operators.search.fitness, over numpy columns."""
-    sd = p.std()
-    corr = 0.0 if sd < 1e-9 else float(((y - y.mean()) * (p - p.mean())).sum() / (y.std() * sd * len(y) + 1e-8))
+#: What a batch of rows tells of a program: rows, means and squares around them, and both sides' hits and wrong sizes.
+MOMENTS = ["n", "y1", "p1", "yy", "pp", "yp", "n_up", "n_down", "hit_up", "hit_down", "wrong_up", "wrong_down"]
+
+
+def moments(y: np.ndarray, p: np.ndarray) -> list[float]:
+    if not np.isfinite(p).all():
+        return [float(len(y)), *[math.nan] * (len(MOMENTS) - 1)]
     up, down = p[y == 1], p[y == -1]
-    a, b = (up > 0).sum() / (len(up) + 1e-8), (down < 0).sum() / (len(down) + 1e-8)
-    wrong = (np.maximum(0, -up).mean() if len(up) else 0.0) + (np.maximum(0, down).mean() if len(down) else 0.0)
-    return float(pearson * corr + direction * 2 * a * b / (a + b + 1e-8) - WRONG * wrong / 2 - SPREAD * max(0.0, SPREAD_FLOOR - sd))
+    a, b = y - y.mean(), p - p.mean()
+    return [float(x) for x in (len(y), y.mean(), p.mean(), (a * a).sum(), (b * b).sum(), (a * b).sum(), len(up), len(down), (up > 0).sum(), (down < 0).sum(), np.maximum(0, -up).sum(), np.maximum(0, down).sum())]
+
+
+def score_of(m: dict[str, float], pearson: float, direction: float) -> float:
+    """As operators.search.fitness, from the moments of all rows."""
+    sy, sp = math.sqrt(m["yy"] / m["n"]), math.sqrt(m["pp"] / m["n"])
+    corr = 0.0 if sp < 1e-9 else m["yp"] / (sy * sp * m["n"] + 1e-8)
+    a, b = m["hit_up"] / (m["n_up"] + 1e-8), m["hit_down"] / (m["n_down"] + 1e-8)
+    wrong = (m["wrong_up"] / m["n_up"] if m["n_up"] else 0.0) + (m["wrong_down"] / m["n_down"] if m["n_down"] else 0.0)
+    return pearson * corr + direction * 2 * a * b / (a + b + 1e-8) - WRONG * wrong / 2 - SPREAD * max(0.0, SPREAD_FLOOR - sp)
+
+
+def directional_score(y: np.ndarray, p: np.ndarray, pearson: float, direction: float) -> float:
+    return score_of(dict(zip(MOMENTS, moments(y, p))), pearson, direction)
+
+
+def penalty(p: Program, parsimony: float) -> float:
+    return shallow_penalty(len(p), len(features_used(p))) + parsimony * len(p)
 
 
 def program_score(p: Program, columns: dict[str, np.ndarray], y: np.ndarray, parsimony: float, s: Settings) -> float:
     out = evaluate(p, columns, len(y))
     if not np.isfinite(out).all():
         return REJECTED
-    return directional_score(y, out, s.pearson, s.direction) - shallow_penalty(len(p), len(features_used(p))) - parsimony * len(p)
+    return directional_score(y, out, s.pearson, s.direction) - penalty(p, parsimony)
 
 
 class Maker:
@@ -185,6 +207,30 @@ def score_population(spark: SparkSession | None, programs: list[Program], column
     return [known[show(p)] for p in programs]
 
 
+def score_rows(df: DataFrame, programs: list[Program], names: Sequence[str], y: str, parsimony: float, s: Settings) -> list[float]:
+    """Scores in order, over all rows of ``df``; without rows every program is rejected."""
+    distinct = {show(p): p for p in programs}
+    texts = list(distinct)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parsed = [parse(t) for t in texts]
+        for pdf in batches:
+            columns, target = {n: pdf[n].to_numpy(np.float64) for n in names}, pdf[y].to_numpy(np.float64)
+            if len(target):
+                rows = [(i, *moments(target, evaluate(p, columns, len(target)))) for i, p in enumerate(parsed)]
+                yield pd.DataFrame(rows, columns=["i", *MOMENTS])
+
+    parts = df.select(*names, F.col(y).cast("double").alias(y)).mapInPandas(run, "i int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    n, n_y, n_p = (F.sum(F.col("n") * x) for x in (F.lit(1.0), F.col("y1"), F.col("p1")))
+    around = {"yy": F.sum(F.col("yy") + F.col("n") * F.col("y1") ** 2) - n_y * n_y / n, "pp": F.sum(F.col("pp") + F.col("n") * F.col("p1") ** 2) - n_p * n_p / n, "yp": F.sum(F.col("yp") + F.col("n") * F.col("y1") * F.col("p1")) - n_y * n_p / n}
+    sums = parts.groupBy("i").agg(n.alias("n"), *[F.greatest(c, F.lit(0.0)).alias(m) if m != "yp" else c.alias(m) for m, c in around.items()], *[F.sum(m).alias(m) for m in MOMENTS[6:]])
+    known = {}
+    for r in sums.collect():  # a row for each program
+        p = distinct[texts[r["i"]]]
+        known[texts[r["i"]]] = REJECTED if any(r[m] is None or math.isnan(r[m]) for m in ("pp", "yp")) else score_of(r.asDict(), s.pearson, s.direction) - penalty(p, parsimony)
+    return [known.get(show(p), REJECTED) for p in programs]
+
+
 @dataclass
 class Result:
     best: Program | None
@@ -201,15 +247,35 @@ class Result:
 
 def evolve(columns: dict[str, np.ndarray], y: np.ndarray, s: Settings, seed: int = 0, prior: Sequence[float] | None = None, seeds: Sequence[Program] = (), spark: SparkSession | None = None) -> Result:
     """The best program of the last generation; None if it is longer than allowed. The same seed gives the same result."""
-    rng, np_rng = random.Random(seed), np.random.default_rng(seed)
-    maker = Maker(list(columns), prior, s, rng)
+    np_rng = np.random.default_rng(seed)
+
+    def score(pool: list[Program], gen: int, parsimony: float) -> list[float]:
+        rows = np.sort(np_rng.permutation(len(y))[: max(1, int(len(y) * s.bag))])
+        return score_population(spark, pool, {k: v[rows] for k, v in columns.items()}, y[rows], parsimony, s)
+
+    return breed(list(columns), score, s, seed, prior, seeds)
+
+
+def evolve_rows(df: DataFrame, names: Sequence[str], y: str, row: Sequence[str], s: Settings, seed: int = 0, prior: Sequence[float] | None = None, seeds: Sequence[Program] = ()) -> Result:
+    """As ``evolve``, over all rows of ``df``, which are read once a generation; ``row`` names the columns that tell rows apart, by which they are bagged."""
+
+    def score(pool: list[Program], gen: int, parsimony: float) -> list[float]:
+        bag = F.pmod(F.xxhash64(*row, F.lit(seed), F.lit(gen)), F.lit(1_000_000)) < int(s.bag * 1_000_000)
+        return score_rows(df.where(bag), pool, names, y, parsimony, s)
+
+    return breed(list(names), score, s, seed, prior, seeds)
+
+
+def breed(names: list[str], score, s: Settings, seed: int, prior: Sequence[float] | None, seeds: Sequence[Program]) -> Result:
+    """Generations under ``score(pool, generation, parsimony)``."""
+    rng = random.Random(seed)
+    maker = Maker(names, prior, s, rng)
     pool = [maker.sane(p) for p in list(seeds)[: s.population // 5]]
     pool += [maker.tree(*s.depth) for _ in range(s.population - len(pool))]
     history, scores = [], []
     for gen in range(s.generations):
         phase = 0 if gen < s.phases[0] else 1 if gen < s.phases[0] + s.phases[1] else 2
-        rows = np.sort(np_rng.permutation(len(y))[: max(1, int(len(y) * s.bag))])
-        scores = score_population(spark, pool, {k: v[rows] for k, v in columns.items()}, y[rows], s.parsimony[phase], s)
+        scores = score(pool, gen, s.parsimony[phase])
         order = sorted(range(len(pool)), key=lambda i: (-scores[i], show(pool[i])))
         history.append({"gen": gen, "best": scores[order[0]], "mean": float(np.mean([x for x in scores if x > REJECTED] or [REJECTED])), "length": len(pool[order[0]])})
         if gen == s.generations - 1:

@@ -15,13 +15,14 @@ HURST_TREND, HURST_REVERT, ADX_TREND, CHOP_TREND, CHOP_CHOPPY = 0.55, 0.45, 25.0
 
 
 def hurst(bars: DataFrame, most_lag: int = 50) -> DataFrame:
-    """symbol, hurst: slope of ln(deviation of the lag's differences) on ln(lag)."""
+    """symbol, hurst: slope of ln(deviation of the lag's differences) on ln(lag); NULL for a symbol with too few bars."""
     lags = range(2, most_lag)
     diffs = bars.select("symbol", *[(F.col("close") - lag("close", k)).alias(f"d{k}") for k in lags])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.stddev_pop(f"d{k}").alias("tau")) for k in lags])
     by = diffs.groupBy("symbol").agg(F.count("*").alias("n"), pairs.alias("pairs"))
     long = by.select("symbol", "n", F.explode("pairs").alias("p")).where((F.col("p.lag") < F.floor(F.col("n") / 2)) & (F.col("p.tau") > 0))
-    return long.groupBy("symbol").agg(F.regr_slope(F.ln("p.tau"), F.ln("p.lag")).alias("hurst"))
+    found = long.groupBy("symbol").agg(F.regr_slope(F.ln("p.tau"), F.ln("p.lag")).alias("hurst"))
+    return by.select("symbol").join(found, "symbol", "left")
 
 
 def adx(bars: DataFrame, period: int = 14) -> DataFrame:
@@ -56,8 +57,8 @@ def decide(h: Column, a: Column, c: Column) -> Column:
 
 
 def classify(bars: DataFrame, most_lag: int = 50) -> DataFrame:
-    """symbol, hurst, adx, chop, regime."""
-    out = hurst(bars, most_lag).join(adx(bars), "symbol").join(choppiness(bars), "symbol")
+    """symbol, hurst, adx, chop, regime: of every symbol; what is NULL says nothing for a trend or against one."""
+    out = hurst(bars, most_lag).join(adx(bars), "symbol", "left").join(choppiness(bars), "symbol", "left")
     return out.withColumn("regime", decide(F.col("hurst"), F.col("adx"), F.col("chop")))
 
 

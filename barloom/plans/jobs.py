@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +21,6 @@ from ..operators import signals as sg
 from ..sources import sinks
 from ..sources.store import cut
 
-#: Rows of the training matrix at most; of more, those with the smallest hashes of their time are taken.
-MOST_ROWS = 200_000
 META = "run string, fold long, regime string, formula_hash string, formula string, return_pct double, sharpe double, max_dd double, win_rate double, profit_factor double, n_trades long, n_long long, n_short long, coverage_pct double, prog_length int, n_features int, winner boolean, fail_reason string, buy_threshold double, sell_threshold double"
 
 
@@ -53,20 +50,19 @@ def discover(bars: DataFrame, symbol: str, settings: ev.Settings, generations: i
     _, scaled_names = ft.Buckets().split(names)
     fit = se.fit_tanh(split.where("part = 'train'"), scaled_names)
     scaled = cut(se.apply_tanh(split, fit, scaled_names))
-    train = lb.training_rows(scaled.where("part = 'train'")).orderBy(F.xxhash64("ts")).limit(MOST_ROWS).orderBy("ts").select("target", *names).toPandas()
-    if train.empty:
+    train = cut(lb.training_rows(scaled.where("part = 'train'")).select("ts", "target", *names))
+    if train.isEmpty():
         raise ValueError(f"no rows to train on for {symbol}")
-    columns, y = {n: train[n].to_numpy(np.float64) for n in names}, train["target"].to_numpy(np.float64)
     hold = scaled.where("part = 'holdout'")
     regime = rg.classify(own.where(F.col("ts") < hold.agg(F.min("ts")).first()[0]).select("symbol", "ts", "open", "high", "low", "close")).first()
     regime = regime["regime"] if regime else "random_walk"
     settings = ev.for_regime(settings, regime)
     state, rows, seen = ev.Outer([], {}, []), [], Counter()
     for gen in range(1, generations + 1):
-        won = spark.createDataFrame([(w["formula"],) for w in state.winners], "formula string")
-        lost = spark.createDataFrame(list(state.losses.items()), "feature string, losses double")
-        prior = {r["feature"]: r["prob"] for r in bd.feature_prior(won, lost, names).collect()}
-        result = ev.evolve(columns, y, settings, seed + gen, [prior[n] for n in names], state.pool, spark)
+        won = spark.createDataFrame([(symbol, w["formula"]) for w in state.winners], "run string, formula string")
+        lost = spark.createDataFrame([(symbol, *x) for x in state.losses.items()], "run string, feature string, losses double")
+        prior = {r["feature"]: r["prob"] for r in bd.feature_prior(won, lost, names, spark.createDataFrame([(symbol,)], "run string")).collect()}
+        result = ev.evolve_rows(train, names, "target", ["ts"], settings, seed + gen, [prior[n] for n in names], state.pool)
         row = dict.fromkeys([x.split()[0] for x in META.split(", ")]) | {"run": symbol, "fold": gen, "regime": regime, "winner": False}
         if result.best is None:
             rows.append(row | {"fail_reason": "too long"})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+import re
 
+from ..functions import formula as fm
 from ..functions.formula import show
 from ..operators import evolve as ev
 from ..operators import orderblocks as ob
-from .base import WITH, bars, query
-from .search import NAMES, matrix
+from ..sources.store import cut
+from .base import WITH, bars, q, query, r
+from .search import MATRIX, NAMES, fitness_sql, matrix
 
 
 def flag(x: str, lb: int, agg: str, op: str) -> str:
@@ -38,11 +40,27 @@ def elite_distances(spark, sf):
     return ev.formula_distances(spark.createDataFrame([(x,) for x in TREES], "formula string"))
 
 
+#: A fixed population, to hold scores against SQL.
+POPULATION = ["add(f0, mul(f1, f2))", "sub(f1, neg(f3))", "if_then(gt(f0, f2), f1, neg(f3))", "max(min(f0, f1), mul(f2, 0.5))", "div(add(f0, f1), sub(f2, f3))", "f1"]
+
+
+def penalty_sql(text: str) -> str:
+    nodes = len(re.findall(r"[A-Za-z_]\w*|-?\d+\.\d+", text))
+    features = len(set(re.findall(r"\bf\d\b", text)))
+    return f"(0.02 * greatest(0, 8 - {nodes}) + 0.15 * greatest(0, 3 - {features}) + 0.001 * {nodes})"
+
+
+@query(f"{WITH}, {MATRIX} " + " UNION ALL ".join(f"SELECT '{t}' AS formula, {q(fitness_sql(fm.to_sql(t)) + ' - ' + penalty_sql(t))} AS score FROM m" for t in POPULATION))
+def program_scores(spark, sf):
+    """Scores of a population over all rows of all symbols, with both penalties."""
+    s = ev.Settings(population=60, generations=3, phases=(1, 1, 1))
+    scores = ev.score_rows(matrix(spark, sf), [fm.parse(t) for t in POPULATION], NAMES, "y", 0.001, s)
+    return spark.createDataFrame(list(zip(POPULATION, scores)), "formula string, score double").withColumn("score", r("score"))
+
+
 @query()
 def evolution(spark, sf):
-    """A small seeded search over one symbol's last bars; the tests hold its invariants."""
-    rows = matrix(spark, sf).where("symbol = 'click'").orderBy("ts").limit(400).toPandas()
-    columns = {n: rows[n].to_numpy(np.float64) for n in NAMES}
+    """A small seeded search over all bars of all symbols; the tests hold its invariants, and ``program_scores`` its scores."""
     s = ev.Settings(population=60, generations=3, phases=(1, 1, 1))
-    out = ev.evolve(columns, rows["y"].to_numpy(np.float64), s, seed=3, spark=spark)
+    out = ev.evolve_rows(cut(matrix(spark, sf)), NAMES, "y", ["symbol", "ts"], s, seed=3)
     return spark.createDataFrame([(show(p), float(x), len(p)) for p, x in zip(out.population, out.scores)], "formula string, score double, nodes int")

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -56,12 +58,47 @@ def test_stale_best_empties_the_pool():
     assert s.pool == [] and s.losses == {"f1": 3}
 
 
+def plain_draws(draws, trades, seed=42):
+    u = lambda d, i, k: (int(hashlib.md5(f"{seed}:{d}:{i}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return np.array([[np.sqrt(-2 * np.log(u(d, i, "r"))) * np.cos(2 * np.pi * u(d, i, "a")) for i in range(1, trades + 1)] for d in range(draws)])
+
+
 def test_significance(spark):
-    rows = [("a", 5, 3.0), ("b", 200, 0.5), ("c", 200, 9.0), ("d", 200, -9.0)]
-    got = {r["h"]: r["p_value"] for r in lb.significance(spark.createDataFrame(rows, "h string, n_trades int, sharpe double"), 500).collect()}
-    assert got["a"] == 1.0 and got["c"] == 0.0 and got["d"] == 1.0 and 0.2 < got["b"] < 0.42
-    x = np.random.default_rng(42).standard_normal((500, 200))
-    assert got["b"] == pytest.approx((x.mean(1) / x.std(1) * np.sqrt(200) >= 0.5).mean())
+    rows = [("a", 5, 3.0), ("b", 200, 0.5), ("c", 200, 9.0), ("d", 200, -9.0), ("e", None, 1.0), ("f", 40, 1.0)]
+    got = {r["h"]: r["p_value"] for r in lb.significance(spark.createDataFrame(rows, "h string, n_trades int, sharpe double"), 300).collect()}
+    assert got["a"] == 1.0 and got["c"] == 0.0 and got["d"] == 1.0 and got["e"] == 1.0 and 0.2 < got["b"] < 0.42
+    x = plain_draws(300, 200)
+    assert abs(x.mean()) < 0.02 and abs(x.std() - 1) < 0.02
+    for name, n, s in (("b", 200, 0.5), ("f", 40, 1.0)):
+        y = x[:, :n]
+        assert got[name] == pytest.approx((y.mean(1) / y.std(1) * np.sqrt(n) >= s).mean())
+
+
+def test_scores_over_rows_as_over_a_matrix(spark):
+    """Batches of any size add up to the score of the whole matrix; what is not finite anywhere is rejected."""
+    columns, y = data()
+    programs = [parse(x) for x in ("add(f0, f1)", "mul(f2, neg(f3))", "if_then(gt(f0, f1), f2, 0.5)", "div(f0, sub(f1, f1))", "0.25")]
+    rows = [(i, float(t), *(float(columns[f"f{k}"][i]) for k in range(6))) for i, t in enumerate(y)]
+    df = spark.createDataFrame(rows, "row long, y double, " + ", ".join(f"f{k} double" for k in range(6))).repartition(7)
+    got = ev.score_rows(df, programs, list(columns), "y", 0.001, SMALL)
+    assert got == pytest.approx(ev.score_population(None, programs, columns, y, 0.001, SMALL), abs=1e-9)
+    assert ev.score_rows(df.limit(0), programs, list(columns), "y", 0.001, SMALL) == [ev.REJECTED] * 5
+    r = ev.evolve_rows(df, list(columns), "y", ["row"], ev.Settings(population=40, generations=2, phases=(1, 1, 0)), seed=7)
+    again = ev.evolve_rows(df.repartition(3), list(columns), "y", ["row"], ev.Settings(population=40, generations=2, phases=(1, 1, 0)), seed=7)
+    assert r.best == again.best and "f0" in features_used(r.best)
+
+
+def test_promotion_by_trades():
+    columns, y = data()
+    r = ev.evolve(columns, y, ev.Settings(population=30, generations=1, phases=(1, 0, 0)), seed=2)
+    assert ev.promote(r, lambda p: -len(p), 10) == min((p for p, x in zip(r.population[:10], r.scores[:10]) if x > ev.REJECTED), key=len)
+    assert ev.promote(ev.Result(None, 0.0, [], [], []), len) is None
+
+
+def test_regimes_change_settings():
+    for name, change in ev.BY_REGIME.items():
+        s = ev.for_regime(SMALL, name)
+        assert all(getattr(s, k) == v for k, v in change.items()) and s.population == SMALL.population
 
 
 def test_seeds_lose_unknown_features():

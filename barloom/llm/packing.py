@@ -2,15 +2,17 @@
 
 An item is a vector of tokens, documents and attention cost (tokens squared); a bin has a capacity for each.
 Items go longest first into the open bin that fits under every constraint and scores best: by least weighted norm
-of what remains, or by largest weighted dot product of item and residual.
+of what remains, or by largest weighted dot product of item and residual. All three dimensions score; a caller who names no other capacity than the tokens' gets one
+for documents and one for cost that no bin of so many tokens can exceed.
 
 An item's vector follows from its length, and lengths are bounded by the capacity. So the histogram of
 lengths, a few thousand numbers at any size of the corpus, decides the whole packing: equal bins are handled as ranges, and
-each piece finds its place by its rank among the pieces of its length.
+each piece finds its place by its rank among the pieces of its length. The ranges are a file in the shared folder that workers map: for each length there are at most as
+many as there are ranges of open bins, which grow by no more than three a length.
 
 Defined results: a null or empty text is one piece that holds only the end token; a document over the capacity is cut into full
-pieces, of which the first may be shorter; rows with the same id are packed each by itself; an empty table gives an empty
-result; columns other than doc_id and text are ignored.
+pieces, of which the first may be shorter; a null id is kept; rows with the same id are packed each by itself; pieces of one length that tie in every column may change places; very
+long texts are encoded whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,21 +20,24 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, written
+from .common import map_batches, mapped, new_path, save, table, written
 from .tokens import Encoder
 
 CAPACITY = 2048
 END = 0
+#: Of tokens, documents and attention cost.
+WEIGHTS = (1.0, 1.0, 1.0)
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """Pieces of each document's ids and end token: doc_id, piece, start, length, ids_crc32, and ``dup``, the row's own number among equal ids in its batch."""
+    """Pieces of each document's ids and end token: doc_id, piece, start, length, ids_crc32."""
     state: list[Encoder] = []
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -52,7 +57,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), batch, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def plan(histogram: dict[int, int], capacity: tuple[float, float, float], weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], capacity: tuple[float, float, float], weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Slots (length, first rank, bins, items per bin, first bin, offset in the bin) and the number of bins.
 
     Within a slot, rank r stands in bin first + r // items, at offset + length * (r % items). Bins with the same
@@ -100,7 +105,14 @@ def plan(histogram: dict[int, int], capacity: tuple[float, float, float], weight
     return slots, bins
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, most_docs: int | None = None, most_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm", path: str | None = None, group: int = 4096) -> DataFrame:
+@lru_cache(maxsize=2)
+def slots_at(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots, mapped, and what they are searched by: length and first rank."""
+    at = mapped(path).view(np.int64).reshape(-1, 6)
+    return at, at[:, 0] << 44 | at[:, 1]
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, most_docs: int | None = None, most_cost: float | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", path: str | None = None, group: int = 4096) -> DataFrame:
     """A row per piece with its sequence and offset. ``group``: pieces of one length that are ranked together, on average."""
     pieces = written(cut(docs, capacity, path), "pack-pieces")
     total = pieces.count()
@@ -115,10 +127,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, most_docs: int | None = None
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row per length up to the capacity
     slots, _ = plan(histogram, (capacity, most_docs or capacity, most_cost or float(capacity) ** 2), weights, rule)
     slots.sort()
-    at = np.array(slots, np.int64).reshape(-1, 6)
-    key = at[:, 0] << 44 | at[:, 1]
+    path_of_slots = new_path(docs.sparkSession, "pack-slots")
+    save(path_of_slots, np.array(slots, np.int64).reshape(-1, 6))
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
+        at, key = slots_at(path_of_slots)
         length, rank = (b.column(c).to_numpy() for c in ("length", "rank"))
         s = at[np.searchsorted(key, length << 44 | rank, side="right") - 1]
         r = rank - s[:, 1]

@@ -6,8 +6,11 @@ token count at every prefix by dynamic programming, and answers truncation and b
 For every prefix of a pre-token exactly one token t ends its encoding: the one for which t stays
 next to the last token of the prefix before it. So count[p] = count[p - len(t)] + 1, and no prefix is encoded again.
 
+``prefix_table`` stores the counts of all prefixes with the documents, one byte or two a character; ``truncated`` and ``tokens_within`` answer from it.
+
 Defined results: a null text counts as empty and has 0 tokens; strings of special tokens inside a text become these tokens,
-as the tokenizer library does by default; repeated rows give repeated results; columns other than doc_id and text are ignored.
+as the tokenizer library does by default; a null id is kept; repeated rows give repeated results; an empty table gives an empty result; very long texts are counted
+whole; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -348,5 +351,56 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) ->
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), batch, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
+def packed_steps(counts: np.ndarray) -> bytes:
+    """Steps from prefix to prefix as signed bytes, or as 16 or 64 bits after a mark, where one is larger."""
+    d = np.diff(counts)
+    for mark, kind in ((b"1", np.int8), (b"2", np.int16)):
+        if not len(d) or (np.iinfo(kind).min <= d.min() and d.max() <= np.iinfo(kind).max):
+            return mark + d.astype(kind).tobytes()
+    return b"8" + d.astype(np.int64).tobytes()
+
+
+def unpacked(steps: bytes) -> np.ndarray:
+    """Token counts of every prefix, from 0 characters on."""
+    kind = {b"1": np.int8, b"2": np.int16, b"8": np.int64}[steps[:1]]
+    return np.concatenate(([0], np.cumsum(np.frombuffer(steps[1:], kind).astype(np.int64))))
+
+
+def prefix_table(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, text, steps: the token counts of every prefix, to be written and asked later."""
+    counter = PrefixCounter(path)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        steps = [packed_steps(counter.prefixes(t or "")) for t in b.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(steps, pa.binary())], ["doc_id", "text", "steps"])
+
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), batch, "doc_id bigint, text string, steps binary")
+
+
+def truncated(stored: DataFrame, budget: int) -> DataFrame:
+    """doc_id, text, n_tokens: the longest prefix of at most ``budget`` tokens, from stored counts; a null text stays."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, sizes = [], []
+        for t, s in zip(b.column("text").to_pylist(), b.column("steps").to_pylist()):
+            c = unpacked(s)
+            at = int(np.flatnonzero(c <= budget)[-1])
+            texts.append(None if t is None else t[:at])
+            sizes.append(int(c[at]))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "text", "n_tokens"])
+
+    return map_batches(stored.select("doc_id", "text", "steps"), batch, "doc_id bigint, text string, n_tokens bigint")
+
+
+def tokens_within(stored: DataFrame, characters: int) -> DataFrame:
+    """doc_id, n_tokens of each text's first ``characters`` characters, from stored counts."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = [int(c[min(characters, len(c) - 1)]) for c in map(unpacked, b.column("steps").to_pylist())]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+
+    return map_batches(stored.select("doc_id", "steps"), batch, "doc_id bigint, n_tokens bigint")
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))

@@ -330,6 +330,16 @@ def test_packing(spark, sf, docs):
         assert len(seqs) <= -(-total // 2048) + 1
 
 
+def test_packing_uses_all_dimensions():
+    """All three dimensions score, and the sequences are as few as tokens alone would give."""
+    r = random.Random(7)
+    hist = collections.Counter(min(2048, int(r.lognormvariate(5.5, 1.1)) + 1) for _ in range(4000))
+    full = (2048, 2048, 2048.0**2)
+    slots, bins = packing.plan(dict(hist), full)
+    alone, plain = packing.plan(dict(hist), full, (1.0, 0.0, 0.0))
+    assert all(packing.WEIGHTS) and slots != alone and bins <= plain and bins <= -(-sum(k * n for k, n in hist.items()) // 2048) + 1
+
+
 def test_packing_under_every_constraint():
     r = random.Random(5)
     hist = collections.Counter(r.randint(1, 60) for _ in range(500))
@@ -371,6 +381,22 @@ def test_token_counts_at_every_prefix(library, t):
     assert len(library.encode(cut, add_special_tokens=False).ids) <= 5
 
 
+def test_stored_prefixes(spark, docs, library):
+    """Truncation and counts from stored prefixes, without encoding again."""
+    few = docs.where("doc_id is null or doc_id <> 9")
+    stored = spark.createDataFrame(tokens.prefix_table(few).collect(), "doc_id bigint, text string, steps binary")
+    text = {r["doc_id"]: r["text"] for r in few.collect()}
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for r in tokens.truncated(stored, 6).collect():
+        t = text[r["doc_id"]]
+        assert r["text"] is None if t is None else t.startswith(r["text"]) and n(r["text"]) == r["n_tokens"] <= 6
+        assert t is None or all(n(t[:i]) > 6 for i in range(len(r["text"]) + 1, len(t) + 1))
+    for r in tokens.tokens_within(stored, 11).collect():
+        assert r["n_tokens"] == n((text[r["doc_id"]] or "")[:11])
+    for c in ([0], [0, 1, 1, 0, 300], [0, 1, 40_000]):
+        assert tokens.unpacked(tokens.packed_steps(np.array(c))).tolist() == c
+
+
 def test_token_counts_of_long_words(library):
     t = "ab" * 700 + " " + "日" * 90 + " " * 300 + "x"
     assert tokens.PrefixCounter().counts([t, "", t]) == [n := len(library.encode(t, add_special_tokens=False).ids), 0, n]

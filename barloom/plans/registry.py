@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, board, indicators, machines, search, series  # noqa: F401
+from . import audits, board, files, indicators, machines, search, series  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 

@@ -66,15 +66,81 @@ def indicator_scans(spark, sf):
     return ind.directional(bars(spark, sf)).select("symbol", "ts", *[r(n, 4).alias(n) for n in ("ta_rsi", "ta_cmo", "ta_atr", "ta_plus_di", "ta_minus_di", "ta_dx", "ta_adx")])
 
 
-@query()
-def indicator_all_scans(spark, sf):
-    return ind.scans(bars(spark, sf))
+MORE_FRAMES = {
+    "ta_bbands_1": roll("avg", "close", 5), "ta_ma": roll("avg", "close", 30), "ta_trima": "(" + " + ".join(f"lag(close, {29 - i}) {OVER} * {min(i + 1, 30 - i)}" if i < 29 else "close" for i in range(30)) + ") / 240.0",
+    "ta_rocp": f"(close - lag(close, 10) {OVER}) / lag(close, 10) {OVER}", "ta_rocr": f"close / lag(close, 10) {OVER}", "ta_var": roll("var_pop", "close", 5),
+    "ta_linearreg_intercept": f"CASE WHEN count(close) {frame(14)} >= 14 THEN avg(close) {frame(14)} - regr_slope(close, rn) {frame(14)} * 6.5 END", "ta_linearreg_angle": f"CASE WHEN count(close) {frame(14)} >= 14 THEN degrees(atan(regr_slope(close, rn) {frame(14)})) END",
+    "ta_tsf": f"CASE WHEN count(close) {frame(14)} >= 14 THEN avg(close) {frame(14)} + regr_slope(close, rn) {frame(14)} * 7.5 END",
+    "ta_stoch_0": "sk", "ta_macdext_0": "dm", "ta_macdext_1": roll("avg", "dm", 9), "ta_macdext_2": f"dm - {roll('avg', 'dm', 9)}",
+    "ta_beta": f"CASE WHEN count(rh) {frame(5)} >= 5 THEN coalesce(covar_pop(rh, rl) {frame(5)} / nullif(var_pop(rh) {frame(5)}, 0), 0) END",
+}
 
 
-@query()
+#: Ratios and weighted means of prices with two decimals often end in a five at the fourth digit; with more digits both engines round them alike.
+DIGITS = {"ta_rocp": 9, "ta_rocr": 9, "ta_trima": 7, "ta_mavp": 7}
+
+
+@query(
+    f"""{WITH}, k AS MATERIALIZED (SELECT *, CASE WHEN {roll('max', 'high', 5)} > {roll('min', 'low', 5)} THEN 100 * (close - {roll('min', 'low', 5)}) / ({roll('max', 'high', 5)} - {roll('min', 'low', 5)}) WHEN {roll('max', 'high', 5)} IS NOT NULL THEN 0 END AS fk,
+{roll('avg', 'close', 12)} - {roll('avg', 'close', 26)} AS dm, high / lag(high) {OVER} - 1 AS rh, low / lag(low) {OVER} - 1 AS rl, floor(least(greatest(low, 2), 30))::BIGINT AS span FROM b),
+s AS MATERIALIZED (SELECT *, {roll('avg', 'fk', 3)} AS sk FROM k), mp AS (SELECT a.symbol, a.rn, avg(o.high) AS v FROM k a JOIN b o ON o.symbol = a.symbol AND o.rn BETWEEN a.rn - a.span + 1 AND a.rn WHERE a.rn >= 30 GROUP BY a.symbol, a.rn),
+ex AS (SELECT a.symbol, a.rn, max(o.rn) FILTER (o.high = m.hh) - max(o.rn) FILTER (o.low = m.ll) AS d FROM b a JOIN (SELECT symbol, rn, {roll('max', 'high', 15)} AS hh, {roll('min', 'low', 15)} AS ll FROM b) m USING (symbol, rn) JOIN b o ON o.symbol = a.symbol AND o.rn BETWEEN a.rn - 14 AND a.rn GROUP BY a.symbol, a.rn)
+SELECT s.symbol, s.ts, {', '.join(f'{q(x, DIGITS.get(n, 4))} AS {n}' for n, x in MORE_FRAMES.items())}, {q('100 * ex.d / 14', 4)} AS ta_aroonosc, {q("mp.v", 7)} AS ta_mavp FROM s LEFT JOIN mp USING (symbol, rn) LEFT JOIN ex USING (symbol, rn)"""
+)
+def indicator_more_frames(spark, sf):
+    return ind.frames(bars(spark, sf)).select("symbol", "ts", *[r(n, DIGITS.get(n, 4)).alias(n) for n in (*MORE_FRAMES, "ta_aroonosc", "ta_mavp")])
+
+
+def chained(names: list[str], alpha: float, seed: int) -> str:
+    """CTEs of seeded means, each of the one before it, the first of closes."""
+    out = [seeded(names[0], "b", "close", alpha, seed)]
+    for before, n in zip(names, names[1:]):
+        out += [f"{n}_i AS MATERIALIZED (SELECT b.symbol, b.rn, {before}.y AS x FROM b LEFT JOIN {before} USING (symbol, rn))", seeded(n, f"{n}_i", "x", alpha, seed)]
+    return ", ".join(out)
+
+
+MORE_SCANS = ("ta_t3", "ta_macdfix_0", "ta_macdfix_1", "ta_macdfix_2", "ta_trange", "ta_natr", "ta_plus_dm", "ta_minus_dm", "ta_adxr", "ta_stochrsi_0", "ta_stochrsi_1")
+RISE, FALL = f"high - lag(high) {OVER}", f"lag(low) {OVER} - low"
+
+
+@query(
+    f"""{WITH}, {chained([f't{i}' for i in range(1, 7)], 1 / 3, 5)}, lt AS MATERIALIZED (SELECT *, CASE WHEN rn > 14 THEN close END AS late FROM b), {seeded('ff', 'lt', 'late', 0.15, 12)}, {seeded('fs', 'b', 'close', 0.075, 26)},
+mf AS MATERIALIZED (SELECT b.symbol, b.rn, ff.y - fs.y AS x FROM b LEFT JOIN ff USING (symbol, rn) LEFT JOIN fs USING (symbol, rn)), {seeded('mg', 'mf', 'x', 0.2, 9)},
+mv AS MATERIALIZED (SELECT symbol, ts, rn, close, CASE WHEN c1 IS NOT NULL THEN greatest(close - c1, 0) END AS g, CASE WHEN c1 IS NOT NULL THEN greatest(c1 - close, 0) END AS l, CASE WHEN c1 IS NOT NULL THEN tr END AS t,
+CASE WHEN c1 IS NULL THEN NULL WHEN {RISE} > {FALL} AND {RISE} > 0 THEN {RISE} ELSE 0 END AS p, CASE WHEN c1 IS NULL THEN NULL WHEN {FALL} > {RISE} AND {FALL} > 0 THEN {FALL} ELSE 0 END AS m FROM b),
+{', '.join(seeded(f'w{x}', 'mv', x, 1 / 14, 14) for x in 'gltpm')}, di AS MATERIALIZED (SELECT mv.symbol, mv.ts, mv.rn, mv.close, mv.t AS tr, 100 * wg.y / (wg.y + wl.y) AS rsi, wt.y AS t, wp.y AS p, wm.y AS m FROM mv LEFT JOIN wg USING (symbol, rn) LEFT JOIN wl USING (symbol, rn) LEFT JOIN wt USING (symbol, rn) LEFT JOIN wp USING (symbol, rn) LEFT JOIN wm USING (symbol, rn)),
+dx AS MATERIALIZED (SELECT *, 100 * abs(p - m) / (p + m) AS x FROM di), {seeded('ad', 'dx', 'x', 1 / 14, 14)},
+sr AS MATERIALIZED (SELECT dx.*, ad.y AS adx, CASE WHEN {roll('max', 'rsi', 14)} > {roll('min', 'rsi', 14)} THEN 100 * (rsi - {roll('min', 'rsi', 14)}) / ({roll('max', 'rsi', 14)} - {roll('min', 'rsi', 14)}) WHEN {roll('max', 'rsi', 14)} IS NOT NULL THEN 0 END AS sk FROM dx LEFT JOIN ad USING (symbol, rn))
+SELECT sr.symbol, sr.ts, {q('(-(0.7 ** 3)) * t6.y + (3 * 0.49 + 3 * 0.7 ** 3) * t5.y + (-6 * 0.49 - 3 * 0.7 - 3 * 0.7 ** 3) * t4.y + (1 + 3 * 0.7 + 0.7 ** 3 + 3 * 0.49) * t3.y', 4)} AS ta_t3,
+{q('mf.x', 4)} AS ta_macdfix_0, {q('mg.y', 4)} AS ta_macdfix_1, {q('mf.x - mg.y', 4)} AS ta_macdfix_2, {q('sr.tr', 4)} AS ta_trange, {q('100 * sr.t / sr.close', 4)} AS ta_natr, {q('sr.p * 14', 4)} AS ta_plus_dm, {q('sr.m * 14', 4)} AS ta_minus_dm,
+{q('(sr.adx + lag(sr.adx, 13) OVER (PARTITION BY sr.symbol ORDER BY sr.ts)) / 2', 4)} AS ta_adxr, {q('sr.sk', 4)} AS ta_stochrsi_0, {q('avg3', 4)} AS ta_stochrsi_1
+FROM (SELECT *, {roll('avg', 'sk', 3)} AS avg3 FROM sr) sr LEFT JOIN t3 USING (symbol, rn) LEFT JOIN t4 USING (symbol, rn) LEFT JOIN t5 USING (symbol, rn) LEFT JOIN t6 USING (symbol, rn) LEFT JOIN mf USING (symbol, rn) LEFT JOIN mg USING (symbol, rn)"""
+)
+def indicator_more_scans(spark, sf):
+    return ind.scans(bars(spark, sf)).select("symbol", "ts", *[r(n, 4).alias(n) for n in MORE_SCANS])
+
+
+@query(
+    f"""{WITH}, kp AS MATERIALIZED (SELECT *, lag(high) {OVER} AS h1, lag(low) {OVER} AS l1, lag(close, 30) {OVER} AS c30, sum(abs(close - c1)) {frame(30)} AS path FROM b),
+kw AS MATERIALIZED (SELECT symbol, rn, close, c1, (CASE WHEN path > 0 THEN least(1, abs(close - c30) / path) ELSE 1 END * (2 / 3.0 - 2 / 31.0) + 2 / 31.0) ** 2 AS k FROM kp),
+ka AS (SELECT symbol, rn, c1 + k * (close - c1) AS y FROM kw WHERE rn = 31 UNION ALL SELECT w.symbol, w.rn, e.y + w.k * (w.close - e.y) FROM ka e JOIN kw w ON w.symbol = e.symbol AND w.rn = e.rn + 1),
+sa(symbol, rn, up, sar, far, f, y) AS (
+  SELECT symbol, 1::BIGINT, NOT fell, CASE WHEN fell THEN h1 ELSE l1 END, CASE WHEN fell THEN low ELSE high END, 0.02::DOUBLE, NULL::DOUBLE FROM (SELECT *, l1 - low > high - h1 AND l1 - low > 0 AS fell FROM kp WHERE rn = 2)
+  UNION ALL
+  SELECT symbol, rn, now, CASE WHEN now THEN least(y + f2 * (far2 - y), l1, low) ELSE greatest(y + f2 * (far2 - y), h1, high) END, far2, f2, y
+  FROM (SELECT *, CASE WHEN NOT turn THEN sar WHEN now THEN least(far, l1, low) ELSE greatest(far, h1, high) END AS y, CASE WHEN turn OR beyond THEN CASE WHEN now THEN high ELSE low END ELSE far END AS far2, CASE WHEN turn THEN 0.02 WHEN beyond THEN least(0.2, f + 0.02) ELSE f END AS f2
+    FROM (SELECT s.symbol, p.rn, s.sar, s.far, s.f, p.high, p.low, p.h1, p.l1, CASE WHEN s.up THEN p.low <= s.sar ELSE p.high >= s.sar END AS turn, CASE WHEN s.up THEN p.low > s.sar ELSE p.high >= s.sar END AS now, CASE WHEN s.up THEN p.high > s.far ELSE p.low < s.far END AS beyond
+      FROM sa s JOIN kp p ON p.symbol = s.symbol AND p.rn = s.rn + 1)))
+SELECT b.symbol, b.ts, {q('ka.y', 4)} AS ta_kama, {q('sa.y', 4)} AS ta_sar, {q('CASE WHEN sa.up THEN sa.y ELSE -sa.y END', 4)} AS ta_sarext FROM b LEFT JOIN ka USING (symbol, rn) LEFT JOIN sa USING (symbol, rn)"""
+)
 def indicator_walks(spark, sf):
-    """Adaptive means, stops and the dominant cycle: machines without an SQL form; the tests hold their invariants."""
-    return ind.walks(bars(spark, sf))
+    return ind.walks(bars(spark, sf)).select("symbol", "ts", *[r(n, 4).alias(n) for n in ("ta_kama", "ta_sar", "ta_sarext")])
+
+
+@query()
+def indicator_cycles(spark, sf):
+    """The dominant cycle and what follows from it: a machine without an SQL form; the tests hold its bounds."""
+    return ind.walks(bars(spark, sf)).select("symbol", "ts", "ta_ht_dcperiod", "ta_ht_dcphase", "ta_ht_trendline", "ta_ht_trendmode", "ta_mama_0", "ta_mama_1")
 
 
 NORMAL = ["ta_willr", "ta_sma", "ta_stddev", "ta_mom"]
@@ -119,6 +185,17 @@ def candles(spark, sf):
     return cd.candles(bars(spark, sf), sorted(cd.RULES))
 
 
-@query()
+def confirmed(way: str, inner: int) -> str:
+    """The pattern, or twice its sign where one of the last three bars had it and the close leaves the inside bar on its side."""
+    later = " ".join(f"WHEN lag({way}, {k}) {OVER} <> 0 THEN CASE WHEN lag({way}, {k}) {OVER} = 1 AND c0 > lag(h0, {k + inner}) {OVER} THEN 2 WHEN lag({way}, {k}) {OVER} = -1 AND c0 < lag(lw0, {k + inner}) {OVER} THEN -2 ELSE 0 END" for k in (1, 2, 3))
+    return f"(CASE WHEN rn <= 14 THEN NULL WHEN {way} <> 0 THEN {way} {later} ELSE 0 END)::INTEGER"
+
+
+@query(
+    CANDLE_SQL.removesuffix(" SELECT symbol, ts, ")
+    + f""", hk AS MATERIALIZED (SELECT symbol, ts, rn, h0, lw0, c0, CASE WHEN h1 < h2 AND lw1 > lw2 THEN CASE WHEN h0 < h1 AND lw0 < lw1 THEN 1 WHEN h0 > h1 AND lw0 > lw1 THEN -1 ELSE 0 END ELSE 0 END AS plain,
+CASE WHEN h2 < h3 AND lw2 > lw3 AND h1 < h2 AND lw1 > lw2 THEN CASE WHEN h0 < h1 AND lw0 < lw1 AND c2 <= lw2 + n2 THEN 1 WHEN h0 > h1 AND lw0 > lw1 AND c2 >= h2 - n2 THEN -1 ELSE 0 END ELSE 0 END AS modified FROM lg)
+SELECT symbol, ts, {confirmed('plain', 1)} AS ta_cdlhikkake, {confirmed('modified', 2)} AS ta_cdlhikkakemod FROM hk"""
+)
 def candles_hikkake(spark, sf):
     return cd.candles(bars(spark, sf), ["hikkake", "hikkakemod"])

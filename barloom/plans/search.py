@@ -185,15 +185,41 @@ def signal_coverage(spark, sf):
     return sg.coverage(executable(spark, sf)).withColumns({"raw_coverage_pct": r("raw_coverage_pct"), "coverage_pct": r("coverage_pct")})
 
 
-@query()
+#: The ledger's rules step by step: what the bar asks for, a close or an entry at its open, then the barriers at its close.
+LEDGER = f"""{EXECUTION}, xs AS MATERIALIZED (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, open AS o, close AS c, go_long::INT - go_short::INT AS want, atr / open * 3.5 AS up, atr / open * 2.0 AS dn FROM ex),
+ld(symbol, k, ts, eq, side, entry, units, paid, tp, sl, opened, gain, why) AS (
+  SELECT DISTINCT symbol, 0::BIGINT, NULL::TIMESTAMP, 1.0::DOUBLE, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0, NULL::DOUBLE, NULL::VARCHAR FROM xs
+  UNION ALL
+  SELECT symbol, k, ts, CASE WHEN out_c IS NULL THEN eq2 ELSE eq2 + gain_c END, CASE WHEN out_c IS NULL THEN side2 ELSE 0 END, entry2, units2, paid2, tp2, sl2, opened, CASE WHEN out_c IS NULL THEN gain_o ELSE gain_c END, coalesce(out_c, CASE WHEN turned THEN 'opposite' END)
+  FROM (SELECT *, side2 * units2 * (c * (1 - side2 * {sg.SLIPPAGE}) - entry2) - paid2 - units2 * c * (1 - side2 * {sg.SLIPPAGE}) * {sg.FEES} AS gain_c,
+      CASE WHEN side2 = 0 THEN NULL WHEN side2 * (c - entry2) / entry2 <= -sl2 THEN 'stop' WHEN side2 * (c - entry2) / entry2 >= tp2 THEN 'target' END AS out_c
+    FROM (SELECT symbol, k, ts, c, turned, gain_o, CASE WHEN turned THEN eq + gain_o ELSE eq END AS eq2, CASE WHEN turned THEN 0 WHEN enters THEN want ELSE side END AS side2, CASE WHEN enters THEN want ELSE 0 END AS opened,
+        CASE WHEN enters THEN o * (1 + want * {sg.SLIPPAGE}) ELSE entry END AS entry2, CASE WHEN enters THEN eq / (o * (1 + want * {sg.SLIPPAGE})) ELSE units END AS units2,
+        CASE WHEN enters THEN eq * {sg.FEES} ELSE paid END AS paid2, CASE WHEN enters THEN up ELSE tp END AS tp2, CASE WHEN enters THEN dn ELSE sl END AS sl2
+      FROM (SELECT l.symbol, x.k, x.ts, x.o, x.c, x.want, x.up, x.dn, l.eq, l.side, l.entry, l.units, l.paid, l.tp, l.sl, l.side <> 0 AND x.want = -l.side AS turned, l.side = 0 AND x.want <> 0 AND l.eq > 0 AS enters,
+          CASE WHEN l.side <> 0 AND x.want = -l.side THEN l.side * l.units * (x.o * (1 - l.side * {sg.SLIPPAGE}) - l.entry) - l.paid - l.units * x.o * (1 - l.side * {sg.SLIPPAGE}) * {sg.FEES} END AS gain_o
+        FROM ld l JOIN xs x ON x.symbol = l.symbol AND x.k = l.k + 1)))
+), mk AS MATERIALIZED (SELECT l.symbol, l.ts, l.k, l.side, l.opened, l.gain, l.why, l.eq + CASE WHEN l.side <> 0 THEN l.side * l.units * (x.c - l.entry) - l.paid ELSE 0 END AS equity FROM ld l JOIN xs x USING (symbol, k))"""
+
+
+@query(f"{WITH}, {LEDGER} SELECT symbol, ts, side::INT AS position, opened::INT AS opened, {q('gain')} AS gain, why, {q('equity')} AS equity FROM mk")
 def backtest_simulate(spark, sf):
-    """Position, trades and equity of each bar: a walk without an SQL form; the tests hold it against ledgers worked out by hand."""
-    return sg.simulate(executable(spark, sf))
+    """Position, trades and equity of each bar."""
+    return sg.simulate(executable(spark, sf)).select("symbol", "ts", "position", "opened", r("gain").alias("gain"), "why", r("equity").alias("equity"))
 
 
-@query()
+STATS = ("return_pct", "sharpe", "max_dd", "win_rate", "profit_factor")
+
+
+@query(
+    f"""{WITH}, {LEDGER}, rt AS (SELECT *, equity / coalesce(lag(equity) OVER w, 1) - 1 AS r, 1 - equity / greatest(max(equity) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS dd FROM mk WINDOW w AS (PARTITION BY symbol ORDER BY k)),
+st AS (SELECT symbol, (arg_max(equity, k) - 1) * 100 AS return_pct, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(24 * 365), 0) AS sharpe, max(dd) * 100 AS max_dd, count(*) FILTER (gain > 0) * 100.0 / nullif(count(gain), 0) AS win_rate,
+  coalesce(sum(gain) FILTER (gain > 0), 0) / nullif(-sum(gain) FILTER (gain <= 0), 0) AS profit_factor, count(gain) AS n_trades FROM rt GROUP BY symbol)
+SELECT symbol, {', '.join(f'{q(x, 4)} AS {x}' for x in STATS)}, n_trades FROM st"""
+)
 def backtest_stats(spark, sf):
-    return sg.portfolio_stats(sg.simulate(executable(spark, sf)), 24 * 365)
+    out = sg.portfolio_stats(sg.simulate(executable(spark, sf)), 24 * 365)
+    return out.select("symbol", *[r(x, 4).alias(x) for x in STATS], "n_trades")
 
 
 HURST = f"""hl AS (SELECT symbol, k, stddev_pop(d) AS tau FROM (SELECT a.symbol, l.k, a.close - o.close AS d FROM b a, (SELECT unnest(range(2, 50)) AS k) l, b o WHERE o.symbol = a.symbol AND o.rn = a.rn - l.k) GROUP BY symbol, k),

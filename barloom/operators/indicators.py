@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scan
 from ..functions.sequential import walk
 from ..functions.series import bars_window, clip, correlation, lag, rolling, rolling_mean, trailing
+from ..sources.store import cut
 
 C, H, L = "close", "high", "low"
 
@@ -161,12 +162,12 @@ def ema(bars: DataFrame, series: dict[str, tuple[str, int]]) -> DataFrame:
 
 
 def ema_family(bars: DataFrame, n: int = 30, t3: int = 5, v: float = 0.7) -> DataFrame:
-    """EMA, DEMA, TEMA, T3 and TRIX from chains of exponential means."""
+    """EMA, DEMA, TEMA, T3 and TRIX from chains of exponential means; each link is written, so that no plan holds more than one."""
     out = ema(bars, {"_e1": (C, n), "_t1": (C, t3)})
-    out = ema(out, {"_e2": ("_e1", n), "_t2": ("_t1", t3)})
-    out = ema(out, {"_e3": ("_e2", n), "_t3": ("_t2", t3)})
+    out = ema(cut(out), {"_e2": ("_e1", n), "_t2": ("_t1", t3)})
+    out = ema(cut(out), {"_e3": ("_e2", n), "_t3": ("_t2", t3)})
     for i in (4, 5, 6):
-        out = ema(out, {f"_t{i}": (f"_t{i - 1}", t3)})
+        out = ema(cut(out), {f"_t{i}": (f"_t{i - 1}", t3)})
     e1, e2, e3 = (F.col(f"_e{i}") for i in (1, 2, 3))
     t = [F.col(f"_t{i}") for i in range(1, 7)]
     c1, c2, c3, c4 = -(v**3), 3 * v * v + 3 * v**3, -6 * v * v - 3 * v - 3 * v**3, 1 + 3 * v + v**3 + 3 * v * v
@@ -180,7 +181,7 @@ def macd_ema(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -
     out = bars.withColumn("_late", seed)
     out = scan.seeded_ewma(out, {"_f": ("_late", 2 / (fast + 1), fast), "_s": (C, 2 / (slow + 1), slow), "_ff": ("_late", 0.15, fast), "_fs": (C, 0.075, slow)})
     out = out.withColumns({"ta_macd_0": F.col("_f") - F.col("_s"), "ta_macdfix_0": F.col("_ff") - F.col("_fs")})
-    out = ema(out, {"ta_macd_1": ("ta_macd_0", signal), "ta_macdfix_1": ("ta_macdfix_0", signal)})
+    out = ema(cut(out), {"ta_macd_1": ("ta_macd_0", signal), "ta_macdfix_1": ("ta_macdfix_0", signal)})
     return out.withColumns({"ta_macd_2": F.col("ta_macd_0") - F.col("ta_macd_1"), "ta_macdfix_2": F.col("ta_macdfix_0") - F.col("ta_macdfix_1")}).drop("_late", "_f", "_s", "_ff", "_fs")
 
 
@@ -197,14 +198,14 @@ def directional(bars: DataFrame, n: int = 14) -> DataFrame:
     ratio = lambda a, b: F.when(a.isNotNull(), F.coalesce(F.try_divide(a, b), zero))
     out = out.withColumns({"ta_rsi": 100 * ratio(g, g + lo), "ta_cmo": 100 * ratio(g - lo, g + lo), "ta_natr": 100 * ratio(atr, F.col(C)), "ta_plus_dm": p * n, "ta_minus_dm": m * n, "ta_plus_di": 100 * ratio(p, atr), "ta_minus_di": 100 * ratio(m, atr)})
     out = out.withColumn("ta_dx", 100 * ratio(F.abs(F.col("ta_plus_di") - F.col("ta_minus_di")), F.col("ta_plus_di") + F.col("ta_minus_di")))
-    out = scan.wilder(out, "ta_adx", "ta_dx", n)
+    out = scan.wilder(cut(out), "ta_adx", "ta_dx", n)
     low, high = rolling(F.min, "ta_rsi", 14), rolling(F.max, "ta_rsi", 14)
     out = out.withColumns({"ta_adxr": (F.col("ta_adx") + lag("ta_adx", n - 1)) / 2, "ta_stochrsi_0": F.when(high > low, 100 * (F.col("ta_rsi") - low) / (high - low)).when(high.isNotNull(), 0.0)})
     return out.withColumn("ta_stochrsi_1", rolling_mean("ta_stochrsi_0", 3)).drop("_g", "_l", "_p", "_m", "_ag", "_al", "_ap", "_am")
 
 
 def scans(bars: DataFrame) -> DataFrame:
-    return directional(macd_ema(ema_family(bars)))
+    return directional(cut(macd_ema(cut(ema_family(bars)))))
 
 
 # Walks.

@@ -14,7 +14,7 @@ def out(df, c="y"):
     return df.orderBy("ts").toPandas()[c].to_numpy(float)
 
 
-def test_affine_over_levels(spark):
+def test_affine_over_blocks(spark):
     rng = np.random.default_rng(0)
     a, b = rng.uniform(-1, 1, 1000), rng.normal(size=1000)
     df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "ts": range(1000), "a": a, "b": b}))
@@ -22,8 +22,8 @@ def test_affine_over_levels(spark):
     for p, q in zip(a, b):
         y = p * y + q
         want.append(y)
-    for levels in (0, 1, 2):
-        got = scan.affine_scan(df, {"y": (F.col("a"), F.col("b"))}, block=7, levels=levels)
+    for block in (1, 2, 7, 128, 5000):
+        got = scan.affine_scan(df, {"y": (F.col("a"), F.col("b"))}, block=block)
         np.testing.assert_allclose(out(got), want, atol=1e-12)
 
 
@@ -51,6 +51,16 @@ def test_symbols_are_apart_and_columns_stay(spark):
     assert out(got.where("symbol = 't'")).tolist() == [10.0, 15.0, 22.5]
 
 
+def test_null_symbols_are_one_series_and_columns_may_clash(spark):
+    df = frame(spark, [1, 2, 3], None).union(frame(spark, [4], "t")).withColumn("_x", F.lit(1))
+    got = scan.ewm(df, {"y": ("x", 0.5)}, adjust=False)
+    assert out(got.where("symbol IS NULL")).tolist() == [1.0, 1.5, 2.25] and got.count() == 4 and "_x" in got.columns
+
+
+def test_empty_series(spark):
+    assert scan.seeded_ewma(frame(spark, []), {"y": ("x", 0.5, 2)}).count() == 0
+
+
 def test_quantiles(spark):
     from barloom.functions.series import quantile
 

@@ -395,8 +395,11 @@ def kind_of(column: str) -> str:
     return "level" if base.startswith("linearreg") else "plain"
 
 
-def normalized(df: DataFrame, columns: list[str], atr: str = "ta_atr", causal: bool = False) -> DataFrame:
-    """Each column by its kind, with the symbol's moments over all rows, or over the rows so far."""
+def normalized(df: DataFrame, columns: list[str], atr: str = "ta_atr", causal: bool = False, kinds: dict[str, str] | None = None) -> DataFrame:
+    """Each column by its kind, with the symbol's moments over all rows, or over the rows so far.
+
+    ``kinds`` overrides ``kind_of``; two kinds are only reached so: ``skewed_positive`` (the logarithm is scored) and ``mask`` (kept as it is, like a pattern).
+    """
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0 if causal else Window.unboundedFollowing)
 
     def z(x: Column, bound: float) -> Column:
@@ -405,11 +408,13 @@ def normalized(df: DataFrame, columns: list[str], atr: str = "ta_atr", causal: b
 
     out = {}
     for c in columns:
-        kind, x = kind_of(c), F.col(c)
+        kind, x = (kinds or {}).get(c) or kind_of(c), F.col(c)
         if kind == "oscillator":
             out[c] = F.when(F.min(x).over(w) < -50, clip((x + 50) / 50, -1, 1)).otherwise(clip((x - 50) / 50, -1, 1))
         elif kind == "level":
             out[c] = z((x - F.col(C)) / (F.col(atr) + 1e-8), 6.0)
+        elif kind == "skewed_positive":
+            out[c] = z(F.when(x.isNotNull(), F.log(F.greatest(x, F.lit(1e-8)))), 5.0)
         elif kind == "plain":
             out[c] = z(x, 5.0)
     return df.withColumns(out)

@@ -106,3 +106,13 @@ def test_seeds_lose_unknown_features():
 
     m = ev.Maker(["f0"], None, SMALL, random.Random(2))
     assert features_used(m.sane(parse("add(zz, f0)"))) <= {"f0"}
+
+
+def test_kinds_of_normalization(spark):
+    from barloom.operators.indicators import normalized
+
+    df = spark.createDataFrame([("s", i, 10.0, 1.0, x, float(i % 2)) for i, x in enumerate([0.0, 1.0, 100.0, None])], "symbol string, ts int, close double, ta_atr double, x double, m double")
+    out = normalized(df, ["x", "m"], kinds={"x": "skewed_positive", "m": "mask"}).orderBy("ts").toPandas()
+    logs = np.log([1e-8, 1.0, 100.0])
+    np.testing.assert_allclose(out["x"], [*((logs - logs.mean()) / logs.std()), np.nan])
+    assert out["m"].tolist() == [0.0, 1.0, 0.0, 1.0]

@@ -36,6 +36,10 @@ def test_board_build_at_ties(spark, runs):
     same("board_build", spark, runs)
 
 
+def test_board_ranks_at_ties(spark, runs):
+    same("board_ranks", spark, runs)
+
+
 def test_fused_rounds_once():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(2, 20_000))

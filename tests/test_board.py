@@ -44,6 +44,10 @@ def test_board_grade_at_ties(spark, runs):
     same("board_grade", spark, runs)
 
 
+def test_board_kill_switch_at_ties(spark, runs):
+    same("board_kill_switch", spark, runs)
+
+
 def test_fused_rounds_once():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(2, 20_000))
